@@ -11,6 +11,8 @@ order; repeated rows are rows of their own; an empty table gives an empty plan;
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,6 @@ from .common import WORD, cut_lineage, table
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
-ROWS_IN_BUCKET = 50_000
 
 
 def text_key() -> Column:
@@ -70,14 +71,14 @@ def time_of(words: Column) -> Column:
     return F.when(F.abs(slope) < 1e-9, share).otherwise(F.least(F.greatest(root, F.lit(0.0)), F.lit(1.0))) + F.lit(0.0)
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, most=MOST_REPEATS, rows_in_bucket=ROWS_IN_BUCKET) -> DataFrame:
+def plan(docs: DataFrame, weights=WEIGHTS, most=MOST_REPEATS) -> DataFrame:
     """Per row of docs: doc_id, source, text_key, size, source_size, target, taken, takes (array of taken, position).
 
     Documents are ordered within a source by a hash of the id. Running sums come from sums of hash buckets, so no
     task holds a whole source. The last document of a source is taken up to the word where its demand ends.
     """
     sized = cut_lineage(sizes(docs))
-    buckets = max(1, -(-sized.count() // rows_in_bucket))
+    buckets = max(1, math.isqrt(sized.count()))  # as many as rows in each
     order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(9))
     sized = sized.withColumn("ord", order).withColumn("bucket", F.pmod("ord", F.lit(buckets)))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from .media import op4_media
 from .mixing import op9_mixing
+from .pii import op10_pii
+from .quality import op3_quality
 from .sharding import op8_sharding
+from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op3_quality": op3_quality,
+    "op4_media": op4_media,
+    "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}

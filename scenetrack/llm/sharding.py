@@ -11,13 +11,14 @@ extra columns are ignored; fewer rows than shards leave some shards empty.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, table
 
 SHARDS, ROUNDS, SLACK = 16, 4, 0.2
-ROWS_IN_BUCKET = 50_000
 
 
 def linked_rows(docs: DataFrame) -> DataFrame:
@@ -58,14 +59,14 @@ def propagate(rows: DataFrame, round_no: int, capacity: float) -> DataFrame:
     return moved.withColumn("label", F.when(goes, F.col("best")).otherwise(F.col("label"))).drop("best", "to", "accepted")
 
 
-def level(rows: DataFrame, shards: int, count: int, rows_in_bucket: int) -> DataFrame:
+def level(rows: DataFrame, shards: int, count: int) -> DataFrame:
     """Exact counts: shard and slot of each row; counts differ by one at most.
 
     Rows of a shard stand in order: linked ones first, by unit. Ranks come from counts of buckets of that order.
     Rows beyond a shard's quota are numbered through and fill the gaps of the others.
     """
-    buckets = max(1, -(-count // rows_in_bucket))
-    part = F.ceil(F.coalesce("members", F.lit(1)) / rows_in_bucket)
+    buckets = max(1, math.isqrt(count))  # as many as rows in each
+    part = F.ceil(F.coalesce("members", F.lit(1)) / buckets)
     rows = rows.withColumn("bucket", F.struct((~F.col("linked")).alias("single"), F.pmod("unit", F.lit(buckets)).alias("b"), F.pmod("ord", part).alias("part")))
     counts = rows.groupBy("label", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,7 +91,7 @@ def level(rows: DataFrame, shards: int, count: int, rows_in_bucket: int) -> Data
     return out.withColumn("shard", F.coalesce("shard", "label").cast("int")).withColumn("slot", slot.cast("long"))
 
 
-def shard_documents(docs: DataFrame, shards=SHARDS, rounds=ROUNDS, slack=SLACK, rows_in_bucket=ROWS_IN_BUCKET) -> DataFrame:
+def shard_documents(docs: DataFrame, shards=SHARDS, rounds=ROUNDS, slack=SLACK) -> DataFrame:
     rows = cut_lineage(linked_rows(docs))
     count = rows.count()
     capacity = (1 + slack) * count / shards
@@ -98,7 +99,7 @@ def shard_documents(docs: DataFrame, shards=SHARDS, rounds=ROUNDS, slack=SLACK,
     rows = cut_lineage(rows.drop("g1", "g2"))
     for round_no in range(rounds):
         rows = cut_lineage(propagate(rows, round_no, capacity))
-    placed = level(rows, shards, count, rows_in_bucket)
+    placed = level(rows, shards, count)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -6,6 +6,7 @@ A polynomial prefix sum modulo 2**64 gives the hash of any byte run or word run
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -70,14 +71,26 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)  # of each text, and the total
         self.count = np.diff(self.first)
-        up, down = powers(len(data) + 1)
+        up, _ = powers(len(data) + 1)
         sums = np.zeros(len(data) + 1, U)
         np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U))
+        self._byte_sums = sums
+        self.hash = self.bytes_hash(self.start, self.end)
         up, _ = powers(len(self.hash) + 1)
         self._sums = np.zeros(len(self.hash) + 1, U)
         np.cumsum(self.hash * up[:-1], out=self._sums[1:])
 
+    def bytes_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes start to end (exclusive), for each pair."""
+        _, down = powers(len(self._byte_sums))
+        return mix((self._byte_sums[end] - self._byte_sums[start]) * down[start] + (end - start).astype(U))
+
+    def at(self, which: np.ndarray) -> Words:
+        """Some of the words, without their texts."""
+        out = copy.copy(self)
+        out.start, out.end, out.hash = self.start[which], self.end[which], self.hash[which]
+        return out
+
     def run_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the words start to end (exclusive), for each pair."""
         _, down = powers(len(self.hash) + 1)
