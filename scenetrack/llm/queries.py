@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontaminate
 from .media import op4_media
+from .minhash import op5_minhash
 from .mixing import op9_mixing
 from .pii import op10_pii
 from .quality import op3_quality
@@ -10,8 +12,10 @@ from .sharding import op8_sharding
 from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_quality": op3_quality,
     "op4_media": op4_media,
+    "op5_minhash": op5_minhash,
     "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
