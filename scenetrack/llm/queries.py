@@ -9,10 +9,12 @@ from .mixing import op9_mixing
 from .pii import op10_pii
 from .quality import op3_quality
 from .sharding import op8_sharding
+from .suffixes import op2_suffixes
 from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_suffixes": op2_suffixes,
     "op3_quality": op3_quality,
     "op4_media": op4_media,
     "op5_minhash": op5_minhash,
