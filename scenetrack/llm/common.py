@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df once to the cluster's checkpoint folder and read it from there.
+    """Write df once as a compressed table in the cluster's checkpoint folder and read it from there.
 
     The folder is the session's spark.checkpoint.dir. Only a local master may go without one: it gets a
-    temporary folder, which there is shared by driver and tasks.
+    temporary folder, which there is shared by driver and tasks. The table goes when the application ends.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -30,7 +32,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fold(column: str, modulus: int) -> Column:

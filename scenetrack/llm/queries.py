@@ -6,6 +6,7 @@ from .decontaminate import op1_decontaminate
 from .media import op4_media
 from .minhash import op5_minhash
 from .mixing import op9_mixing
+from .passages import op6_passages
 from .pii import op10_pii
 from .quality import op3_quality
 from .sharding import op8_sharding
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_media": op4_media,
     "op5_minhash": op5_minhash,
+    "op6_passages": op6_passages,
     "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,

@@ -208,9 +208,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     classes = cut_lineage(copy_classes(docs).distinct())
     firsts = classes.where("doc_id = first and n_words > 0")
-    found = cut_lineage(heads(docs).distinct().join(firsts.select("doc_id"), "doc_id", "left_semi"))
-    often = found.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
-    wanted = found.join(often, "head", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    found = cut_lineage(heads(docs).join(firsts.select("doc_id"), "doc_id", "left_semi"))
+    place = F.struct("doc_id", "pos")
+    often = found.groupBy("head").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("head")
+    wanted = found.join(often, "head", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     with_at = docs.dropDuplicates(["doc_id"]).join(wanted, "doc_id")
     suffixes = cut_lineage(contexts(with_at))
     spans = merged(neighbours(suffixes, "right").union(neighbours(suffixes, "left")))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
