@@ -139,8 +139,18 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
         at = to
 
 
+BATCH_BYTES, WIDE = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"  # the setting, and its default
+
+
 def map_texts(df: DataFrame, schema: str, work: Callable, text: str = "text") -> DataFrame:
-    """Apply work(rows: RecordBatch, texts: Texts) -> dict of columns (or None) to bounded parts of df."""
+    """Apply work(rows: RecordBatch, texts: Texts) -> dict of columns (or None) to bounded parts of df.
+
+    Long texts make large Arrow batches, which tasks hold in the JVM and in Python; sessions that use Spark's default
+    size get smaller ones.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES) == WIDE:
+        conf.set(BATCH_BYTES, str(CHUNK_BYTES * 8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
