@@ -11,8 +11,8 @@ make buckets. Within a bucket, members are not paired with each other:
   2. buckets of three and more that still have several components go on, without members of which more than the
      tolerated share of runs occurs in no other such member (they can link to none). Each bucket takes the member with the
      fewest such runs as the next centre;
-  3. what is left is paired across components, where sizes and shared runs allow the similarity, so that no link between
-     different components of a bucket is lost.
+  3. what is left is joined across components by the differences of each text to that centre, which give the similarity
+     of two texts exactly, so that no link between different components of a bucket is lost.
 Two documents link if the Jaccard similarity of their sets of runs is THRESHOLD at least, computed from whole texts.
 
 Defined cases: null and blank texts have no words and are one class of exact copies; repeated rows are copies; an empty
@@ -142,15 +142,46 @@ def links_of(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, threshold:
     shared = ids.join(sizes, "doc_id").join(alone, "doc_id", "left").select("doc_id", "runs", (F.col("runs") - F.coalesce("alone", F.lit(0))).alias("shared"))
     shared = cut_lineage(shared.where(F.col("shared") >= threshold * F.col("runs")))
     live = rest.join(shared, "doc_id")
-    second = live.groupBy("key").agg(F.max_by("doc_id", F.struct(F.col("shared") / F.col("runs"), -F.col("doc_id"))).alias("second"))
-    again = live.join(second, "key").where("doc_id <> second and second <> centre").select(F.least("doc_id", "second").alias("a"), F.greatest("doc_id", "second").alias("b")).distinct()
+    seconds = cut_lineage(live.groupBy("key").agg(F.max_by("doc_id", F.struct(F.col("shared") / F.col("runs"), -F.col("doc_id"))).alias("second")))
+    again = live.join(seconds, "key").where("doc_id <> second and second <> centre").select(F.least("doc_id", "second").alias("a"), F.greatest("doc_id", "second").alias("b")).distinct()
     links = cut_lineage(links.union(verified(again, few, threshold)))
-    live = cut_lineage(open_rows(links).join(shared, "doc_id"))
-    x, y = live.alias("x"), live.alias("y")
+    live = open_rows(links).join(shared, "doc_id").join(seconds, "key").select("key", "doc_id", "component", "centre", "runs", "shared", "second")
+    live = cut_lineage(live)
+    near = live.join(differences(live.select("doc_id", "second").distinct(), few), ["doc_id", "second"])
+    return cut_lineage(links.union(across(near, threshold)))
+
+
+def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (doc_id, second) with the runs that only the document has, those only the centre has, and the centre's number."""
+    left = texts.select("doc_id", F.col("text").alias("text_a"))
+    right = texts.select(F.col("doc_id").alias("second"), F.col("text").alias("text_b"))
+    both = pairs.join(left, "doc_id").join(right, "second").select("doc_id", "second", "text_a", "text_b")
+
+    def work(rows, texts_a):
+        hashes_a, at_a = run_sets(texts_a)
+        hashes_b, at_b = run_sets(column_texts(rows["text_b"]))
+        added, missing = [], []
+        for i in range(len(texts_a)):
+            x, y = hashes_a[at_a[i] : at_a[i + 1]].view(np.int64), hashes_b[at_b[i] : at_b[i + 1]].view(np.int64)
+            added.append(np.setdiff1d(x, y, assume_unique=True))
+            missing.append(np.setdiff1d(y, x, assume_unique=True))
+        kind = pa.list_(pa.int64())
+        return {"doc_id": rows["doc_id"], "second": rows["second"], "added": pa.array(added, kind), "missing": pa.array(missing, kind), "base": np.diff(at_b).astype(np.int32)}
+
+    return map_texts(both, "doc_id long, second long, added array<long>, missing array<long>, base int", work, text="text_a")
+
+
+def across(near: DataFrame, threshold: float) -> DataFrame:
+    """Links between components of a bucket. Both texts are known by their differences to the bucket's centre, which
+    give the size of their common part exactly; so the join yields links only, and no text is read for other pairs."""
+    x, y = near.alias("x"), near.alias("y")
     least = F.least("x.shared", "y.shared")
-    may = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & (least >= threshold / (1 + threshold) * (F.col("x.runs") + F.col("y.runs"))) & (F.col("x.doc_id") != F.col("x.centre"))
-    across = x.join(y, may).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    return cut_lineage(links.union(verified(across, few, threshold)))
+    may = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.doc_id") != F.col("x.centre"))
+    may = may & (least >= threshold / (1 + threshold) * (F.col("x.runs") + F.col("y.runs")))
+    kept = F.col("x.base") - F.size("x.missing") - F.size("y.missing") + F.size(F.array_intersect("x.missing", "y.missing"))
+    common = kept + F.size(F.array_intersect("x.added", "y.added"))
+    similar = common >= threshold * (F.col("x.runs") + F.col("y.runs") - common)
+    return x.join(y, may & similar).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
