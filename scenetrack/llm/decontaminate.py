@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textops import Texts, map_texts, mix
+from .textops import Texts, map_texts, mix, slices
 
 Q, WINDOW, EDITS_PER = 10, 96, 16
 BLOCK_CHARS = 8_000_000
@@ -119,8 +119,7 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def candidates(index: Index, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, window, first diagonal of the band) of all bands that reach the bound."""
-    none = np.zeros(0, np.int64)
-    at, window, place = index.hits(grams(codes)) if len(index.keys) else (none, none, none)
+    at, window, place = index.hits(grams(codes))
     text = np.searchsorted(offsets, at, "right") - 1
     pair = text * len(index.owner) + window
     keys, n = counted(pair)
@@ -128,16 +127,16 @@ def candidates(index: Index, codes: np.ndarray, offsets: np.ndarray) -> tuple[np
     keep = np.isin(pair, enough)
     at, window, place, pair = at[keep], window[keep], place[keep], pair[keep]
     stride = index.edits[window] + 1
-    diagonal = at - offsets[pair // max(len(index.owner), 1)] - place + WINDOW  # none is negative
+    diagonal = at - offsets[pair // len(index.owner)] - place + WINDOW  # none is negative
     bands = len(codes) + 2 * WINDOW + 2
     band = diagonal // stride
     key = np.concatenate([pair * bands + band, pair * bands + np.maximum(band - 1, 0)])
     keys, n = counted(key)
     pair, band = keys // bands, keys % bands
-    window = pair % max(len(index.owner), 1)
+    window = pair % len(index.owner)
     good = n >= index.bound[window]
     pair, band, window = pair[good], band[good], window[good]
-    return pair // max(len(index.owner), 1), window, band * (index.edits[window] + 1) - WINDOW
+    return pair // len(index.owner), window, band * (index.edits[window] + 1) - WINDOW
 
 
 def align(index: Index, codes: np.ndarray, offsets: np.ndarray, text: np.ndarray, window: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +167,11 @@ def align(index: Index, codes: np.ndarray, offsets: np.ndarray, text: np.ndarray
 
 def leaks_in(index: Index, codes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item position in index.owner, start, end, edits of the worst window, windows), merged by item."""
+    if not len(index.keys):
+        return []
     text, window, diagonal = candidates(index, codes, offsets)
+    if not len(text):
+        return []
     edits, start, end = align(index, codes, offsets, text, window, diagonal)
     good = (edits <= index.edits[window]) & (end > start)
     found: dict = defaultdict(dict)
@@ -193,15 +196,20 @@ def leaks_in(index: Index, codes: np.ndarray, offsets: np.ndarray) -> list[tuple
 LEAK = "doc_id long, item_id long, start long, end long, edits int, windows int"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per leak: doc_id, item_id, start and end character in the text, edits of its worst window, windows."""
+def blocks_of(benchmark: DataFrame, block_chars: int):
+    """Broadcast index of each block of items, about block_chars at most."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // block_chars) or 1
-    spark, out = docs.sparkSession, None
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about block_chars at most
-        shared = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in part]))
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in part]))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row per leak: doc_id, item_id, start and end character in the text, edits of its worst window, windows."""
+    out = None
+    for shared in blocks_of(benchmark, block_chars):
 
         def work(rows, texts, shared=shared):
             codes, offsets, place = normalised(texts)
@@ -220,9 +228,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs less those that hold a leak."""
-    return docs.join(find_leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs less those that hold a leak; rows are tested in place, so equal or null ids can't be mixed up."""
+    for shared in blocks_of(benchmark, block_chars):
+
+        def keep(batches, shared=shared):
+            for batch in batches:
+                for rows, texts in slices(batch, "text"):
+                    codes, offsets, _ = normalised(texts)
+                    clean = np.ones(len(texts), bool)
+                    clean[[leak[0] for leak in leaks_in(shared.value, codes, offsets)]] = False
+                    yield rows.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

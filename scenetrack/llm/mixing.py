@@ -117,9 +117,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     whole = F.filter("takes", lambda x: 2 * x["taken"] >= F.col("size"))
     copies = plan(docs, **options).select("doc_id", "source", "text_key", F.size(whole).alias("copies"))
     copies = copies.groupBy("doc_id", "source", "text_key").agg(F.round(F.avg("copies")).cast("int").alias("copies")).where("copies > 0")
-    here, there = docs.alias("d"), copies.alias("m")
+    each = copies.select("*", F.explode(F.sequence(F.lit(1), "copies")))
+    here, there = docs.alias("d"), each.alias("m")
     same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("m.text_key"))
-    return here.join(there, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("m.copies")))).select("d.*")
+    return here.join(there, same).select("d.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
