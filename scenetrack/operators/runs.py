@@ -198,3 +198,31 @@ def perimeter_pixels(runs: DataFrame, frame: DataFrame) -> DataFrame:
 def frame_of(px: DataFrame) -> DataFrame:
     """(scene_id, height, width) of dense rasters: one row per scene."""
     return px.groupBy("scene_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+
+
+def plateaus(px: DataFrame, value: str) -> DataFrame:
+    """Runs of equal value with the label of their 4-connected plateau."""
+    island = px.select(*KEYS, "col", value, (F.col("col") - F.row_number().over(Window.partitionBy(*KEYS, value).orderBy("col"))).alias("island"))
+    runs = island.groupBy(*KEYS, value, "island").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("island").withColumn("id", run_id())
+    below = runs.select("scene_id", (F.col("row") - 1).alias("row"), value, F.col("id").alias("id2"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
+    edges = runs.join(below, [*KEYS, value]).where("c0 <= d1 and d0 <= c1").select("scene_id", F.col("id").alias("u"), F.col("id2").alias("v"))
+    labels = star_labels(edges)
+    return runs.join(labels, (runs.scene_id == labels.scene) & (runs.id == labels.vertex), "left").select(*KEYS, "c0", "c1", value, F.coalesce("component", "id").alias("label"))
+
+
+def regional_minima(px: DataFrame, value: str) -> DataFrame:
+    """Plateaus without a lower 4-neighbour."""
+    from scenetrack.operators.stencil import COL, ROW, shift
+
+    lower = px.select(*KEYS, "col", F.least(*[shift(value, line, by) for line, by in ((ROW, -1), (ROW, 1), (COL, -1), (COL, 1))]).alias("near"), value).where(F.col("near") < F.col(value))
+    flat = plateaus(px, value)
+    out = explode_runs(flat).join(lower.select(*KEYS, "col"), [*KEYS, "col"], "left_semi").select("scene_id", "label").distinct()
+    return flat.join(out, ["scene_id", "label"], "left_anti")
+
+
+def distance_within(pixels: DataFrame, radius: int, frame: DataFrame) -> DataFrame:
+    """Squared distance of mask pixels to the nearest background pixel of the frame, where radius reaches it."""
+    moves = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(a * a + b * b).alias("d2")) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if 0 < a * a + b * b <= radius * radius]))
+    outside = explode_runs(complement(runs_of(pixels), frame)).select("scene_id", "row", "col", moves.alias("m"))
+    reached = outside.groupBy("scene_id", (F.col("row") + F.col("m.a")).alias("row"), (F.col("col") + F.col("m.b")).alias("col")).agg(F.min("m.d2").alias("d2"))
+    return reached.join(pixels, ["scene_id", "row", "col"], "left_semi")

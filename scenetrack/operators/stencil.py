@@ -120,3 +120,9 @@ def neighbourhood_code(dense: DataFrame, bit: str = "bit") -> DataFrame:
     column = shift(b, COL, -1, zero) + 2 * b + 4 * shift(b, COL, 1, zero)
     coded = dense.withColumn("_c", column.cast("int"))
     return coded.withColumn("code", (shift("_c", ROW, -1, zero) + 8 * F.col("_c") + 64 * shift("_c", ROW, 1, zero)).cast("int")).drop("_c")
+
+
+def boundaries(labels: DataFrame, label: str = "label") -> DataFrame:
+    """Pixels of a dense label raster with a differently labelled 4-neighbour."""
+    here = F.col(label)
+    return labels.select("*", *[(shift(label, line, by) != here).alias(f"_{n}") for n, (line, by) in enumerate(((ROW, -1), (ROW, 1), (COL, -1), (COL, 1)))]).where("_0 or _1 or _2 or _3").drop("_0", "_1", "_2", "_3")

@@ -13,6 +13,7 @@ from scenetrack.operators import stencil as S
 from scenetrack.operators import tracking as T
 from scenetrack.plans import sql as Q
 from scenetrack.sources import views as V
+from scenetrack.streaming import windows as W
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -545,6 +546,45 @@ def object_daily_windows(spark, d):
     return e.groupBy(F.window("time", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")).select(F.col("w.start").alias("day"), "event_type", "n", "mean")
 
 
+@query("select time_bucket(interval '1 day', ts) as start, event_type, count(*)::bigint as n, round(avg(value),6) as mean from events group by 1,2")
+def stream_daily_windows(spark, d):
+    """The daily statistics as a stream with a watermark; equal to the batch form."""
+    out = W.drained(W.windowed(W.observation_stream(spark, d), "1 day"))
+    return out.select("start", "event_type", "n", F.round("mean", 6).alias("mean"))
+
+
+@query("with s as (select unnest([time_bucket(interval '6 hours', ts), time_bucket(interval '6 hours', ts) - interval '6 hours']) as start, event_type, value from events) select start, event_type, count(*)::bigint as n, round(avg(value),6) as mean from s group by 1,2")
+def sliding_windows(spark, d):
+    return W.windowed(V.observations(spark, d), "12 hours", "6 hours").select("start", "event_type", "n", F.round("mean", 6).alias("mean"))
+
+
+@query("with a as (select user_id as id, ts, case when ts < lag(ts) over w + interval '2 hours' then 0 else 1 end as b from events window w as (partition by user_id order by ts)), c as (select id, ts, sum(b) over (partition by id order by ts) as k from a) select id, min(ts) as start, max(ts) + interval '2 hours' as \"end\", count(*)::bigint as n from c group by id, k")
+def session_windows(spark, d):
+    return W.sessions(V.observations(spark, d), "2 hours")
+
+
+MINIMA = """rv as (select "row"::bigint*2147483648+min(col) as id, "row", q, min(col) as c0, max(col) as c1 from (select "row",col,q,col-row_number() over (partition by "row",q order by col) as g from e) group by "row",q,g),
+ve as (select a.id as x, b.id as y from rv a join rv b on b."row"=a."row"+1 and a.q=b.q and a.c0<=b.c1 and b.c0<=a.c1), vu as (select x,y from ve union all select y,x from ve),
+vc(id,l) as (select id,id from rv union select u.y,c.l from vc c join vu u on u.x=c.id where c.l<u.y), vl as (select rv.*, k.l as label from rv join (select id, min(l) as l from vc group by id) k using (id)),
+lo as (select "row",col, least(coalesce(lag(q) over w,q),coalesce(lead(q) over w,q),coalesce(lag(q) over c,q),coalesce(lead(q) over c,q))<q as low from e window w as (partition by "row" order by col), c as (partition by col order by "row"))"""
+
+
+@query(Q.query(Q.PX, MINIMA, 'select "row"::bigint as "row", c0::bigint as c0, c1::bigint as c1, q::bigint as q, label from vl where label not in (select label from vl join lo on vl."row"=lo."row" and lo.col between c0 and c1 where low)'))
+def regional_minima(spark, d):
+    return R.regional_minima(V.px_embed(spark, d), "q").select(*big("row", "c0", "c1", "q", "label"))
+
+
+@query(Q.query(*MASK, Q.background("g", "m"), "of(a,b) as (values " + ",".join(f"({a},{b})" for a in range(-3, 4) for b in range(-3, 4) if 0 < a * a + b * b <= 9) + ")", 'x as (select g."row"+a as "row", g.col+b as col, min(a*a+b*b) as d2 from g, of group by 1,2)', 'select m."row"::bigint as "row", m.col::bigint as col, d2::bigint as d2 from x join m on x."row"=m."row" and x.col=m.col'))
+def bounded_distance(spark, d):
+    return R.distance_within(V.mask(spark, d), 3, frame(spark, d)).select(*big("row", "col", "d2"))
+
+
+@query(Q.query(Q.PX, "k as (select \"row\",col,(q//64) as label from e)", 'd as (select "row",col,label,(coalesce(lag(label) over w,label)<>label or coalesce(lead(label) over w,label)<>label or coalesce(lag(label) over c,label)<>label or coalesce(lead(label) over c,label)<>label) as edge from k window w as (partition by "row" order by col), c as (partition by col order by "row"))', 'select "row"::bigint as "row", col::bigint as col, label::bigint as label from d where edge'))
+def label_boundaries(spark, d):
+    labels = V.px_embed(spark, d).withColumn("label", F.floor(F.col("q") / 64))
+    return S.boundaries(labels).select(*big("row", "col", "label"))
+
+
 GT = (-1_200_000.0, 250.0, 0.0, 800_000.0, 0.0, -250.0)
 
 
