@@ -103,3 +103,37 @@ def h_breaks(code: Column) -> Column:
     """The centre of an H, upright or lying."""
     full = 0b111111111
     return code.isin(full & ~(1 << 3) & ~(1 << 5), full & ~(1 << 1) & ~(1 << 7))
+
+
+def _background_parts(code: int) -> int:
+    """4-connected groups of unset cells in the 3 x 3 neighbourhood."""
+    left, parts = {p for p in range(9) if not code >> p & 1}, 0
+    while left:
+        todo, parts = [left.pop()], parts + 1
+        while todo:
+            p = todo.pop()
+            near = {q for q in left if abs(q // 3 - p // 3) + abs(q % 3 - p % 3) == 1}
+            left -= near
+            todo += near
+    return parts
+
+
+def background_parts() -> list[int]:
+    """For each code with its centre set, the number of background groups; 0 for the others."""
+    return [_background_parts(c) if c >> 4 & 1 else 0 for c in range(512)]
+
+
+def branch_candidates() -> list[int]:
+    """Codes with their centre and at least three more cells set."""
+    return [c for c in range(512) if c >> 4 & 1 and c.bit_count() > 3]
+
+
+def optimal_tile_side(side: Column, height: Column, width: Column) -> Column:
+    """Of side - 1, side and side + 1 the one that leaves the least area uncovered; of equal ones the larger; 2 at least."""
+
+    def candidate(shift: int) -> Column:
+        s = side + shift
+        missed = height * width - F.floor(height / s) * F.floor(width / s) * s * s
+        return F.when(s >= 2, F.struct(missed.alias("missed"), (-s).alias("minus")))
+
+    return -F.array_min(F.filter(F.array(*[candidate(k) for k in (-1, 0, 1)]), lambda x: x.isNotNull()))["minus"]

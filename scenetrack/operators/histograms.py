@@ -92,3 +92,29 @@ def tile_key(at: Column, side: int, length: int) -> Column:
     """Tile index along one axis; a rest of less than half a tile joins the last one."""
     count = max(1, length // side + (1 if 2 * (length % side) >= side else 0))
     return F.least(F.floor(at / side), F.lit(count - 1)).cast("int")
+
+
+def stitch(px: DataFrame, label: str, grey: str, least: int = 4, most_apart: float = 0.1) -> DataFrame:
+    """Labels of tiles joined along the seams: (scene_id, label, stitched).
+
+    px is dense with tile keys tr and tc. Each label right of or below a seam goes to the label it meets most often
+    there, if they meet least times and their mean grey differs by less than most_apart. All seams at once; chains are
+    closed to the least label.
+    """
+    from scenetrack.operators.runs import star_labels
+    from scenetrack.operators.stencil import COL, ROW, along
+
+    here = F.col(label).cast("bigint")
+    seams = None
+    for line, key in ((ROW, "tc"), (COL, "tr")):
+        met = px.select("scene_id", here.alias("l"), F.col(key).alias("k"), F.lead(here).over(along(line)).alias("r"), F.lead(key).over(along(line)).alias("k2")).where("k <> k2 and l <> r").select("scene_id", "l", "r")
+        seams = met if seams is None else seams.unionAll(met)
+    counts = seams.groupBy("scene_id", "l", "r").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    means = px.groupBy("scene_id", here.alias("label")).agg(F.avg(grey).alias("mean"))
+    l_mean = means.select("scene_id", F.col("label").alias("l"), F.col("mean").alias("lm"))
+    r_mean = means.select("scene_id", F.col("label").alias("r"), F.col("mean").alias("rm"))
+    near = counts.join(l_mean, ["scene_id", "l"]).join(r_mean, ["scene_id", "r"]).where(F.abs(F.col("lm") - F.col("rm")) < most_apart)
+    best = near.groupBy("scene_id", "r").agg(F.max_by("l", F.struct("n", -F.col("l"))).alias("l"))
+    roots = star_labels(best.select("scene_id", F.col("r").alias("u"), F.col("l").alias("v")))
+    names = means.select("scene_id", "label")
+    return names.join(roots, (names.scene_id == roots.scene) & (names.label == roots.vertex), "left").select("scene_id", "label", F.coalesce("component", "label").alias("stitched"))

@@ -126,3 +126,37 @@ def boundaries(labels: DataFrame, label: str = "label") -> DataFrame:
     """Pixels of a dense label raster with a differently labelled 4-neighbour."""
     here = F.col(label)
     return labels.select("*", *[(shift(label, line, by) != here).alias(f"_{n}") for n, (line, by) in enumerate(((ROW, -1), (ROW, 1), (COL, -1), (COL, 1)))]).where("_0 or _1 or _2 or _3").drop("_0", "_1", "_2", "_3")
+
+
+def branch_points(coded: DataFrame) -> DataFrame:
+    """Branch points of skeletons from neighbourhood codes (code): candidates with several background groups, but not
+    those with two groups that have a pixel of more groups around them."""
+    from scenetrack.functions import masks
+
+    parts = F.element_at(F.lit(masks.background_parts()), F.col("code") + 1)
+    px = coded.withColumn("parts", parts).withColumn("_m", (F.col("parts") > 2).cast("int"))
+    zero = F.lit(0)
+    px = px.withColumn("_m", F.greatest(F.col("_m"), shift("_m", ROW, -1, zero), shift("_m", ROW, 1, zero)))
+    px = px.withColumn("_m", F.greatest(F.col("_m"), shift("_m", COL, -1, zero), shift("_m", COL, 1, zero)))
+    found = F.col("code").isin(masks.branch_candidates()) & (F.col("parts") != 1) & ~((F.col("parts") == 2) & (F.col("_m") == 1))
+    return px.where(found).drop("_m", "parts")
+
+
+def reconstruct_gray(px: DataFrame, marker: str, mask: str, steps: int = 6) -> DataFrame:
+    """Grey reconstruction by dilation: the marker spreads to 4-neighbours, never above the mask, until nothing changes.
+
+    Each pass takes several steps and cuts the lineage; passes grow with the longest path a value travels.
+    """
+    from scenetrack.session import cut
+
+    now = cut(px.withColumn("_v", F.least(marker, mask)))
+    total = None
+    while True:
+        step = now
+        for _ in range(steps):
+            step = step.withColumn("_v", F.least(F.col(mask), F.greatest(F.col("_v"), shift("_v", ROW, -1), shift("_v", ROW, 1), shift("_v", COL, -1), shift("_v", COL, 1))))
+        now = cut(step)
+        reached = now.agg(F.sum("_v")).first()[0]
+        if reached == total:
+            return now.withColumnRenamed("_v", "reconstructed")
+        total = reached

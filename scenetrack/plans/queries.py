@@ -12,6 +12,7 @@ from scenetrack.operators import runs as R
 from scenetrack.operators import stencil as S
 from scenetrack.operators import tracking as T
 from scenetrack.plans import sql as Q
+from scenetrack.session import cut
 from scenetrack.sources import views as V
 from scenetrack.streaming import windows as W
 
@@ -437,18 +438,42 @@ def piece_sql(low: float, high: float) -> str:
 
 CHAIN = "pf as (select *, round(sd+ea+ej+en,9) as w from pd where " + " and ".join(f"{c}<{piece_sql(*T.RELATIVE[n])}" for c, n in (("ea", "area"), ("ej", "major_axis_length"), ("en", "minor_axis_length"))) + ")"
 
-def scene_objects(spark, d):
-    labels = R.components(R.runs_of(V.scenes(spark, d)))
+def scene_labels(spark, d):
+    return cut(R.components(R.runs_of(V.scenes(spark, d))))
+
+
+def objects_of(spark, labels):
     objects = O.object_table(labels, 29).join(F.broadcast(V.scene_times(spark)), "scene_id")
     return objects.withColumn("uuid", F.concat_ws(":", "scene_id", "label"))
 
 
+def scene_objects(spark, d):
+    return objects_of(spark, scene_labels(spark, d))
+
+
+def chain_of(objects):
+    return T.weighted(T.filtered(T.candidates(objects)))
+
+
 def scene_pairs(spark, d):
     return T.candidates(scene_objects(spark, d))
 
 
 def chained(spark, d):
-    return T.weighted(T.filtered(scene_pairs(spark, d)))
+    return chain_of(scene_objects(spark, d))
+
+
+def matched_cells(spark, d):
+    """Matched pairs (u1, u2) and the cells of their objects with orientation."""
+    labels = scene_labels(spark, d)
+    objects = objects_of(spark, labels)
+    matched = cut(T.mutual_best(chain_of(objects)).select(F.col("h_uuid").alias("u1"), F.col("uuid").alias("u2")))
+    used = matched.select(F.explode(F.array("u1", "u2")).alias("uuid")).distinct()
+    wanted = objects.join(used, "uuid", "left_semi").select("scene_id", "label", "uuid", "orientation")
+    cells = cut(R.explode_runs(labels.join(wanted, ["scene_id", "label"])).select("uuid", "row", "col", "orientation"))
+    first = cells.join(matched.select(F.col("u1").alias("uuid")).distinct(), "uuid", "left_semi")
+    second = cells.join(matched.select(F.col("u2").alias("uuid")).distinct(), "uuid", "left_semi")
+    return matched, first, second
 
 
 @query(Q.query(*SCENES, f"select uuid, area::bigint as area, {rsql('row_centroid', 'col_centroid')} from ao"))
@@ -483,7 +508,8 @@ def track_sql() -> list[str]:
 
 @query(Q.query(*SCENES, CANDIDATES, CHAIN, *track_sql(), "select uuid, trajectory_uuid, head_uuid from t3 where trajectory_uuid in (select trajectory_uuid from t3 group by 1 having count(*)>=2)"))
 def track4(spark, d):
-    return T.track(scene_objects(spark, d), chained(spark, d)).select("uuid", "trajectory_uuid", "head_uuid")
+    objects = scene_objects(spark, d)
+    return T.track(objects, chain_of(objects)).select("uuid", "trajectory_uuid", "head_uuid")
 
 
 @query("with l as (select user_id as id, max({'t':ts,'v':value}) as x from events where ts < timestamp '2024-01-15 00:00:00' group by 1) select id, x.t as time, round(x.v,6) as value from l where epoch(timestamp '2024-01-15 00:00:00')-epoch(x.t) <= 172800")
@@ -509,10 +535,8 @@ def crosscorr(spark, d):
 @query()
 def register_angle(spark, d):
     """Turning angle of each matched pair of the track; tested on masks turned by known angles."""
-    matched = T.mutual_best(chained(spark, d)).select(F.col("h_uuid").alias("u1"), F.col("uuid").alias("u2"))
-    cells = R.explode_runs(R.components(R.runs_of(V.scenes(spark, d)))).select(F.concat_ws(":", "scene_id", "label").alias("uuid"), "row", "col")
-    first = cells.join(matched.select(F.col("u1").alias("uuid")).distinct(), "uuid", "left_semi")
-    second = cells.join(matched.select(F.col("u2").alias("uuid")).distinct(), "uuid", "left_semi")
+    matched, first, second = matched_cells(spark, d)
+    first, second = first.drop("orientation"), second.drop("orientation")
     return T.register(first, second, matched, 15)
 
 
@@ -585,6 +609,51 @@ def label_boundaries(spark, d):
     return S.boundaries(labels).select(*big("row", "col", "label"))
 
 
+BRANCH = (
+    "lut(code,p,cand) as (values " + ",".join(f"({c},{p},{int(c in set(M.branch_candidates()))})" for c, p in enumerate(M.background_parts())) + ")",
+    'bp as (select "row",col,co.code,p,cand,(p>2)::int as m from co join lut on co.code=lut.code)',
+    'ba1 as (select *, greatest(m,coalesce(lag(m) over w,0),coalesce(lead(m) over w,0)) as m1 from bp window w as (partition by "row" order by col))',
+    'ba2 as (select *, greatest(m1,coalesce(lag(m1) over c,0),coalesce(lead(m1) over c,0)) as m2 from ba1 window c as (partition by col order by "row"))',
+)
+
+
+@query(Q.query(Q.PX, CODES, *BRANCH, 'select "row", col from ba2 where cand=1 and p<>1 and not (p=2 and m2=1)'))
+def branch_points(spark, d):
+    return S.branch_points(codes(spark, d)).select(*big("row", "col"))
+
+
+STITCH = (
+    'k as (select "row",col,q/255.0::double as g,"row"//50 as tr,col//32 as tc,(("row"//50)*2+col//32)*4+q//64 as label from e)',
+    'me as (select label, avg(g) as mean from k group by label)',
+    'se as (select l,r from (select label as l, lead(label) over w as r, tc as a, lead(tc) over w as b from k window w as (partition by "row" order by col)) where a<>b and l<>r union all select l,r from (select label as l, lead(label) over w as r, tr as a, lead(tr) over w as b from k window w as (partition by col order by "row")) where a<>b and l<>r)',
+    'cn as (select l,r,count(*) as n from se group by 1,2 having count(*)>=4)',
+    'nr as (select cn.* from cn join me a on a.label=l join me b on b.label=r where abs(a.mean-b.mean)<0.1)',
+    'be as (select r,l from (select *, row_number() over (partition by r order by n desc, l) as z from nr) where z=1)',
+    'bu as (select r as x,l as y from be union all select l,r from be)',
+    'bc(id,l) as (select label,label from me union select u.y,c.l from bc c join bu u on u.x=c.id where c.l<u.y)',
+)
+
+
+@query(Q.query(Q.PX, *STITCH, "select id::bigint as label, min(l)::bigint as stitched from bc group by id"))
+def stitch_clusters(spark, d):
+    tile = F.floor(F.col("row") / 50) * 2 + F.floor(F.col("col") / 32)
+    px = V.px_embed(spark, d).select("scene_id", "row", "col", (F.col("q") / F.lit(255.0)).alias("g"), F.floor(F.col("row") / 50).alias("tr"), F.floor(F.col("col") / 32).alias("tc"), (tile * 4 + F.floor(F.col("q") / 64)).alias("label"))
+    return H.stitch(px, "label", "g").select(*big("label", "stitched"))
+
+
+@query(Q.query(Q.PX, CURVES, "nn as (select pair, sqrt(sum(v*v) filter (side=0))*sqrt(sum(v*v) filter (side=1)) as nrm from cu group by pair)", "ss as (select a.pair, a.i-b.i as lag, sum(a.v*b.v) as s from cu a join cu b on a.pair=b.pair and a.side=0 and b.side=1 group by 1,2)", "select pair::bigint as pair, round(max(s/nrm),3)+0.0 as correlation, round(1-round(max(s/nrm),3),3)+0.0 as score from ss join nn using (pair) group by pair"))
+def best_correlation(spark, d):
+    c = V.px_embed(spark, d).where("row < 20").select(F.floor(F.col("row") / 2).alias("pair"), (F.col("row") % 2).alias("side"), F.col("col").alias("i"), ((F.col("q") - 128) / F.lit(128.0)).alias("value"))
+    return T.best_correlation(c).select(*big("pair"), *rounded("correlation", "score", digits=3))
+
+
+@query()
+def shape_difference(spark, d):
+    """Shape difference of each matched pair of the track."""
+    matched, first, second = matched_cells(spark, d)
+    return T.shape_difference(first, second, matched)
+
+
 GT = (-1_200_000.0, 250.0, 0.0, 800_000.0, 0.0, -250.0)
 
 

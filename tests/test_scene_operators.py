@@ -180,3 +180,57 @@ def test_geo_round_values(spark):
     assert x == pytest.approx(-45) and 71 < y < 72.5
     with pytest.raises(ValueError):
         geo.lon_lat(F.lit(0.0), F.lit(0.0), 32633)
+
+
+def test_gray_reconstruction_equals_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    mask_ = {(i, j): r.randint(0, 9) for i in range(7) for j in range(9)}
+    marker = {k: max(0, v - r.randint(0, 9)) for k, v in mask_.items()}
+    want, before = dict(marker), None
+    while want != before:
+        before = dict(want)
+        want = {(i, j): min(mask_[i, j], max(before.get(p, 0) for p in ((i, j), (i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)))) for i, j in mask_}
+    px = spark.createDataFrame([(0, i, j, marker[i, j], mask_[i, j]) for i, j in mask_], "scene_id int, row int, col int, marker int, mask int")
+    got = {(x.row, x.col): x.reconstructed for x in stencil.reconstruct_gray(px, "marker", "mask", 2).collect()}
+    assert got == want
+
+
+def test_shape_difference_of_turned_bars(spark):
+    flat = [("a", 5, c, math.pi / 2) for c in range(20)]
+    upright = [("b", r, 7, 0.0) for r in range(20)]
+    kind = "uuid string, row int, col int, orientation double"
+    pairs = spark.createDataFrame([("a", "b")], "u1 string, u2 string")
+    got = tracking.shape_difference(spark.createDataFrame(flat, kind), spark.createDataFrame(upright, kind), pairs).first()
+    assert got.difference <= 2 and got.scaled <= 0.1
+
+
+def test_optimal_tile_side(spark):
+    got = spark.createDataFrame([(3, 10, 7), (5, 10, 20), (2, 4, 4)], "s int, h int, w int").select(masks.optimal_tile_side(F.col("s"), F.col("h"), F.col("w")).alias("t")).collect()
+    assert [r.t for r in got] == [2, 5, 2]
+
+
+def test_stream_tracking_equals_batch(spark, tmp_path):
+    from scenetrack.sources import archive, views
+    from scenetrack.streaming.tracker import StreamTracker
+
+    d = "/root/testdata/sf0.001"
+    labels = runs.components(runs.runs_of(views.scenes(spark, d, 3)))
+    table = objects.object_table(labels, 29).join(views.scene_times(spark, 3), "scene_id").withColumn("uuid", F.concat_ws(":", "scene_id", "label"))
+    archive.write_archive({"objects": table}, f"{tmp_path}/archive")
+    table = archive.read_archive(spark, f"{tmp_path}/archive", "objects").cache()
+    pairs = tracking.weighted(tracking.filtered(tracking.candidates(table)))
+    whole = values(tracking.track(table, pairs), "uuid", "trajectory_uuid")
+    tracker = StreamTracker(spark, f"{tmp_path}/state")
+    for k in range(3):
+        tracker.batch(table.where(F.col("scene_id") == k), k)
+    assert len(whole) > 20 and values(tracker.tracks(), "uuid", "trajectory_uuid") == whole
+
+
+def test_archive_rejects_other_versions(spark, tmp_path):
+    from scenetrack.sources import archive
+
+    spark.sql("select 1 as scene_id, '99' as archive_version").write.parquet(f"{tmp_path}/t")
+    with pytest.raises(ValueError):
+        archive.read_archive(spark, str(tmp_path), "t")
