@@ -231,6 +231,17 @@ def test_passages_with_changed_words(spark):
     assert set(got) == set(range(24)) and all(len(got[i]) >= 100 for i in got)
 
 
+def test_pairs_that_were_not_compared_stay_unseen(spark):
+    shared = prose(120, 4000)
+    texts = spark.createDataFrame([(1, f"{prose(80, 4001)} {shared}"), (2, f"{shared} {prose(90, 4002)}")], "doc_id long, text string")
+    kind = "doc_id long, centre long, f int, l int, c int, r int, cl int, cc int, cr int"
+    apart = spark.createDataFrame([(2, 1, 0, 0, 20, 60, 80, 100, 140), (2, 1, 1, 100, 150, 170, 0, 20, 60)], kind)
+    spans, seen = passages.verified(apart, texts, 2)
+    assert spans.count() == 0 and seen.count() == 0
+    spans, seen = passages.verified(apart.limit(1), texts, 1, seen)
+    assert seen.count() == 1 and {r.doc_id for r in spans.collect()} == {1, 2}
+
+
 def test_compact_windows_are_a_partition():
     hashes = np.random.default_rng(3).integers(0, 2**63, 300, dtype=np.uint64)
     low, centre, high = passages.compact_windows(hashes, np.array([0]), np.array([300]), 10)
