@@ -242,6 +242,25 @@ def test_pairs_that_were_not_compared_stay_unseen(spark):
     assert seen.count() == 1 and {r.doc_id for r in spans.collect()} == {1, 2}
 
 
+def test_passages_that_repeat_within_a_document(spark):
+    shared = prose(100, 4100)
+    rows = [(1, f"{prose(70, 4101)} {shared} {prose(90, 4102)} {shared} {prose(60, 4103)} {shared}", "a"), (2, f"{prose(40, 4104)} {shared} {prose(50, 4105)}", "a")]
+    rows += [(3, f"{shared} {prose(60, 4106)} {shared} {prose(50, 4107)}", "a")]
+    got = covered(passages.near_duplicate_passages(frame(spark, rows)))
+    wanted = {1: (70, 260, 420), 2: (40,), 3: (0, 160)}
+    assert all({w for at in wanted[i] for w in range(at, at + 100)} == got[i] for i in wanted)
+
+
+def test_copies_next_to_other_common_words():
+    r = np.random.default_rng(8)
+    one, two, *rest = (r.integers(0, 2**63, 60, dtype=np.uint64) for _ in range(8))
+    x, y = np.concatenate([one, rest[0], two]), np.concatenate([one, rest[1], two, one, rest[2], two, two])
+    for a, b in ((x, y), (y, x)):
+        found = passages.passages_of(a, b)
+        of = lambda k: {i for got in found for i in range(got[2 * k], got[2 * k + 1] + 1)}  # noqa: B023, E731
+        assert of(0) == set(np.flatnonzero(np.isin(a, b)).tolist()) and of(1) == set(np.flatnonzero(np.isin(b, a)).tolist())
+
+
 def test_compact_windows_are_a_partition():
     hashes = np.random.default_rng(3).integers(0, 2**63, 300, dtype=np.uint64)
     low, centre, high = passages.compact_windows(hashes, np.array([0]), np.array([300]), 10)
