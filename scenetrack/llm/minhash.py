@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut_lineage, table
 from .components import components
@@ -204,9 +205,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each class, the least id; of equal rows with that id one."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each class of near-duplicate texts, whatever its id: the one with the least id, null ids last.
+
+    Rows are told apart by their text: classes are those of the texts' first fingerprints, so that null ids and ids with
+    several texts are like any others. Of equal rows one stays.
+    """
+    one, two = (name + "_" * max(map(len, docs.columns)) for name in ("one", "two"))  # no column is as long
+
+    def work(rows, texts):
+        prints = texts.words().fingerprints()
+        return dict(zip(rows.schema.names, rows.columns, strict=True)) | dict(zip((one, two), prints, strict=True))
+
+    schema = StructType([*docs.schema.fields, StructField(one, LongType()), StructField(two, LongType())])
+    rows = cut_lineage(map_texts(docs, schema, work))
+    classes = near_duplicates(rows.select(F.col(one).alias("doc_id"), "text")).select("doc_id", "class_id").distinct()
+    ids = rows.select(F.col(one).alias("one"), F.col(two).alias("two"), F.col("doc_id").alias("id"))
+    heads = ids.join(classes, F.col("one") == F.col("doc_id")).groupBy("class_id").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "one", "two")).alias("head"))
+    kept = cut_lineage(heads.select("head.*")).select(F.col("id").alias(one + "id"), F.col("one").alias(one), F.col("two").alias(two))
+    out = rows.join(kept, [one, two]).where(F.col("doc_id").eqNullSafe(F.col(one + "id")))
+    return out.dropDuplicates([one, two]).select(docs.columns)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

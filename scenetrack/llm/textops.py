@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 CHUNK_BYTES = 1 << 19
 U = np.uint64
@@ -142,7 +143,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
 BATCH_BYTES, WIDE = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"  # the setting, and its default
 
 
-def map_texts(df: DataFrame, schema: str, work: Callable, text: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, schema: str | StructType, work: Callable, text: str = "text") -> DataFrame:
     """Apply work(rows: RecordBatch, texts: Texts) -> dict of columns (or None) to bounded parts of df.
 
     Long texts make large Arrow batches, which tasks hold in the JVM and in Python; sessions that use Spark's default

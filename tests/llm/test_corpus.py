@@ -365,6 +365,14 @@ def test_hot_group_of_near_copies(spark):
     assert got == classes_by_brute_force({i: t for i, t, _ in rows})
 
 
+def test_near_duplicates_are_decided_by_row(spark):
+    twice, near = prose(120, 4200), prose(120, 4201)
+    rows = [(None, prose(90, 4202), "a"), (None, prose(90, 4203), "a"), (None, twice, "null"), (1, twice, "first"), (1, twice, "first")]
+    rows += [(2, near, "near"), (2, prose(80, 4204), "other"), (None, near + " end", "end"), (3, near + " and", "and"), (None, None, "empty"), (None, "", "empty")]
+    got = minhash.without_near_duplicates(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id or 0), r.source, r.text or "") for r in got) == sorted([(0, "a", rows[0][1]), (0, "a", rows[1][1]), (1, "first", twice), (2, "near", near), (2, "other", rows[6][1]), (0, "empty", "")])
+
+
 def test_signature_agreement_estimates_similarity():
     r = np.random.default_rng(2)
     shared = r.integers(0, 2**63, 160, dtype=np.uint64)
