@@ -2,8 +2,10 @@
 
 Documents are linked when their texts are equal. Each starts in a shard drawn from its id. In every round a linked
 document moves to the shard where most of its neighbours are, as far as that shard's quota lets it; whole groups move
-together because the draw is by group. Quotas leave some slack, which a last pass takes back: it makes the counts at most one apart, and full shards give up unlinked
-documents first. A group that exceeds a share of a shard is cut into chunks, which move as groups of their own.
+together because the draw is by group. Quotas leave some slack, which a last pass takes back: it makes the counts at most
+one apart, and full shards give up unlinked documents first, then small groups. Only a group that exceeds a whole shard is
+cut, into as few chunks as that needs. Groups and chunks above 1/PACKED of a shard, which are at most shards * PACKED,
+are packed first, the largest first, each into the shard with the most room. What the rounds leave apart is joined last.
 
 Defined cases: null text is empty text; null ids are ids; repeated rows are rows; an empty table gives no rows;
 extra columns are ignored; fewer rows than shards leave some shards empty.
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, table
 
-SHARDS, ROUNDS, SLACK = 16, 4, 0.2
+SHARDS, ROUNDS, SLACK, PACKED = 16, 4, 0.2, 64
 
 
 def linked_rows(docs: DataFrame) -> DataFrame:
@@ -43,6 +45,18 @@ def units_of(rows: DataFrame, most: int) -> DataFrame:
     return joined.withColumn("linked", F.col("members").isNotNull()).withColumn("unit", F.when(F.col("linked"), unit).otherwise(F.xxhash64("g1", "ord")))
 
 
+def packed(rows: DataFrame, shards: int, count: int) -> DataFrame:
+    """rows with the shard (home) of the large units, null for others: largest first into the shard with the most room."""
+    sizes = rows.where("linked").groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") * shards * PACKED > count)
+    room = [count // shards + (k < count % shards) for k in range(shards)]
+    homes = []
+    for unit, n in sorted(sizes.collect(), key=lambda r: (-r.n, r.unit)):  # shards * PACKED rows at most
+        home = max(range(shards), key=lambda k: (room[k], -k))
+        room[home] -= n
+        homes.append((unit, home))
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(homes, "unit long, home int")), "unit", "left")
+
+
 def propagate(rows: DataFrame, round_no: int, capacity: float) -> DataFrame:
     """One round over linked rows and the sizes of all: new label of each row."""
     tally = rows.where("linked").groupBy("unit", "label").agg(F.count("*").alias("n"))
@@ -55,19 +69,26 @@ def propagate(rows: DataFrame, round_no: int, capacity: float) -> DataFrame:
     quota = into.join(of, F.col("to") == F.col("at"), "left").select("to", F.least(F.greatest(room / F.col("coming"), F.lit(0.0)), F.lit(1.0)).alias("accepted"))
     draw = F.pmod(F.xxhash64("unit", "best", F.lit(round_no)), F.lit(1_000_000)) / 1e6
     moved = wish.join(F.broadcast(quota), F.col("best") == F.col("to"), "left")
-    goes = (F.col("label") != F.col("best")) & (draw < F.coalesce("accepted", F.lit(0.0)))
+    goes = F.isnull("home") & (F.col("label") != F.col("best")) & (draw < F.coalesce("accepted", F.lit(0.0)))
     return moved.withColumn("label", F.when(goes, F.col("best")).otherwise(F.col("label"))).drop("best", "to", "accepted")
 
 
+def together(rows: DataFrame) -> DataFrame:
+    """Every linked unit in the shard that holds most of it."""
+    tally = rows.where("linked and home is null").groupBy("unit", "label").agg(F.count("*").alias("n"))
+    best = tally.groupBy("unit").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("best"))
+    return rows.join(best, "unit", "left").withColumn("label", F.coalesce("best", "label")).drop("best")
+
+
 def level(rows: DataFrame, shards: int, count: int) -> DataFrame:
     """Exact counts: shard and slot of each row; counts differ by one at most.
 
-    Rows of a shard stand in order: linked ones first, by unit. Ranks come from counts of buckets of that order.
+    Rows of a shard stand in order: linked ones first, those of large groups before others, by unit. Ranks come from counts of buckets of that order.
     Rows beyond a shard's quota are numbered through and fill the gaps of the others.
     """
     buckets = max(1, math.isqrt(count))  # as many as rows in each
     part = F.ceil(F.coalesce("members", F.lit(1)) / buckets)
-    rows = rows.withColumn("bucket", F.struct((~F.col("linked")).alias("single"), F.pmod("unit", F.lit(buckets)).alias("b"), F.pmod("ord", part).alias("part")))
+    rows = rows.withColumn("bucket", F.struct((~F.col("linked")).alias("single"), (-F.floor(F.log2(F.coalesce("members", F.lit(1)).cast("double")))).alias("class"), F.pmod("unit", F.lit(buckets)).alias("b"), F.pmod("ord", part).alias("part")))
     counts = rows.groupBy("label", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -95,11 +116,11 @@ def shard_documents(docs: DataFrame, shards=SHARDS, rounds=ROUNDS, slack=SLACK)
     rows = cut_lineage(linked_rows(docs))
     count = rows.count()
     capacity = (1 + slack) * count / shards
-    rows = units_of(rows, max(1, count // shards // 8)).withColumn("label", F.pmod("ord", F.lit(shards)).cast("int"))
-    rows = cut_lineage(rows.drop("g1", "g2"))
+    rows = packed(cut_lineage(units_of(rows, max(1, count // shards)).drop("g1", "g2")), shards, count)
+    rows = cut_lineage(rows.withColumn("label", F.coalesce("home", F.pmod("ord", F.lit(shards)).cast("int"))))
     for round_no in range(rounds):
         rows = cut_lineage(propagate(rows, round_no, capacity))
-    placed = level(rows, shards, count)
+    placed = level(cut_lineage(together(rows)), shards, count)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

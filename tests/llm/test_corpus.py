@@ -412,6 +412,25 @@ def test_hot_group_is_split_over_shards(spark):
     assert sorted(sizes) == list(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
 
 
+def whole_groups(rows, fits):
+    placed = defaultdict(Counter)
+    for text, shard in rows:
+        placed[text][shard] += 1
+    groups = [c for c in placed.values() if 1 < sum(c.values()) <= fits]
+    return sum(len(c) == 1 for c in groups) / len(groups)
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark, texts):
+    for name, fits in (("sf0.001", 200 // 16), ("sf0.01", len(texts) // 16)):
+        folder = f"/root/testdata/{name}"
+        of = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+        assert whole_groups([(of[r.doc_id], r.shard) for r in sharding.op8_sharding(spark, folder).collect()], fits) >= 0.97
+    sizes = [95, 90, 80, 60, 60, 50, 40, 30, 30, 20, 15, *[3] * 60, *[1] * 850]
+    of = [k for k, n in enumerate(sizes) for _ in range(n)]
+    rows = sharding.shard_documents(frame(spark, [(i, f"text {k}", "a") for i, k in enumerate(of)])).collect()
+    assert len({r.shard for r in rows}) == 16 and whole_groups([(of[r.doc_id], r.shard) for r in rows], len(rows) // 16) >= 0.97
+
+
 def targets_by_rounds(sizes):
     weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
     left, total, out = set(sizes), float(sum(sizes.values())), {}
