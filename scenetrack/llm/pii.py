@@ -4,7 +4,9 @@ Strict (base) spans follow fixed patterns and checks and are always kept. Loose
 long digit groups and unprefixed phone numbers outside base spans. Labelers (patterns, a gazetteer of issuers, dialling
 codes and domains, checksums, context words) vote on every span, or abstain. Expectation-maximisation over the vote
 patterns of the whole corpus estimates each labeler's reliability and each pattern's probability. A logistic span
-classifier learns these probabilities from span features; loose candidates that it accepts become weak_* spans.
+classifier learns these probabilities from features of the span and its surroundings, half of which no labeler reads; loose
+candidates that it accepts become weak_* spans. Weak spans meet no base span and no other weak span (of those that meet,
+the leftmost stays, of equal starts the longest, of equal spans the first kind).
 
 Only counts of (kind, votes, features) codes reach the driver; their number is bounded by the codes, not the data.
 
@@ -15,6 +17,7 @@ gives no rows; repeated rows are done each; extra columns are ignored; very long
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 
 import numpy as np
@@ -133,11 +136,14 @@ def votes(kind: int, strict: bool, text: str, start: int, end: int) -> tuple[int
     for c in cast:
         code = code * 3 + c
     features = [cast[1] == 2, cast[2] == 2, near, against, edge, len(digits) >= 16]
+    # what no labeler reads: the span's make-up, and what stands around it
+    line = before.rpartition("\n")[2]
+    features += [len(set(digits)) > 4, any(c in span for c in " -.()"), len(span) > 24, line.rstrip().endswith((":", "=")), any(c.isdigit() for c in line), text[end : end + 1] in ("", ".", ",", ";", "\n")]
     return code, sum(int(f) << i for i, f in enumerate(features))
 
 
 LABELERS = 5
-FEATURES = 6
+FEATURES = 12
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -150,9 +156,9 @@ def find_spans(docs: DataFrame) -> DataFrame:
             text = raw.as_py() or ""
             base = base_spans(text)
             mine = [(k, s, e, True) for k, name in enumerate(KINDS) for s, e in base[name]]
-            taken = sorted((s, e) for _, s, e, _ in mine)
+            starts, reach = reaches(sorted((s, e) for _, s, e, _ in mine))
             for k, s, e in loose_spans(text):
-                if not overlaps(taken, s, e):
+                if not overlaps(starts, reach, s, e):
                     mine.append((k, s, e, False))
             out.append([dict(zip(("kind", "start", "end", "strict", "votes", "features"), (*x, *votes(x[0], x[3], text, x[1], x[2])), strict=True)) for x in mine])
         return {"doc_id": rows["doc_id"], "found": pa.array(out, pa.list_(span))}
@@ -160,10 +166,24 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return map_texts(docs.select("doc_id", "text"), "doc_id long, found array<struct<kind:int,start:long,end:long,strict:boolean,votes:int,features:int>>", work)
 
 
-def overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
-    """Whether a span meets one of the sorted ones."""
-    at = bisect.bisect_left(taken, (start, start))
-    return at < len(taken) and taken[at][0] < end or at > 0 and max(e for _, e in taken[max(0, at - 4) : at]) > start
+def reaches(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts of sorted spans, and the furthest end of each and all before it."""
+    return [s for s, _ in spans], list(itertools.accumulate((e for _, e in spans), max))
+
+
+def overlaps(starts: list[int], reach: list[int], start: int, end: int) -> bool:
+    """Whether a span meets one of those spans."""
+    at = bisect.bisect_left(starts, end)  # these begin before the end
+    return at > 0 and reach[at - 1] > start
+
+
+def apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of spans that don't meet: from the left, the longest first; of equal ones the least kind."""
+    out: list = []
+    for k, s, e in sorted(spans, key=lambda x: (x[1], -x[2], x[0])):
+        if not out or out[-1][2] <= s:
+            out.append((k, s, e))
+    return out
 
 
 def reliabilities(codes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -221,8 +241,9 @@ def detect(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for spans in batch["found"].to_pylist():
-                kept = [(s["kind"] + (0 if s["strict"] else len(KINDS)), s["start"], s["end"]) for s in spans if s["strict"] or accepts(weights[s["kind"]], s["features"])]
-                out.append([{"kind": (KINDS + WEAK)[k], "start": a, "end": b} for k, a, b in sorted(kept)])
+                kept = [(s["kind"], s["start"], s["end"]) for s in spans if s["strict"]]
+                weak = [(s["kind"] + len(KINDS), s["start"], s["end"]) for s in spans if not s["strict"] and accepts(weights[s["kind"]], s["features"])]
+                out.append([{"kind": (KINDS + WEAK)[k], "start": a, "end": b} for k, a, b in sorted(kept + apart(weak))])
             yield record_batch({"doc_id": batch["doc_id"], "spans": pa.array(out, span)})
 
     return found.select("doc_id", "found").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
