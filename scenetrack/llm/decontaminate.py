@@ -6,10 +6,13 @@ k = m // EDITS_PER edits shares at least m + 1 - q(k + 1) q-grams with it on k +
 are counted in bands of 2(k + 1) diagonals, each overlapping the next by half; bands that reach the bound are aligned
 with free ends in the document. Windows of an item that meet in a document are merged to one leak.
 
+Windows under 2 Q characters take q-grams of SHORT_Q (or of the whole window, if it is shorter), with which the bound is
+1 at least, so nothing within the edit budget is missed; under EDITS_PER characters the budget is 0, an exact search.
+
 The benchmark is indexed in blocks of bounded size; each block is compared with all documents.
 
-Defined cases: null and empty texts leak nothing; items shorter than one q-gram can't be searched and give nothing; a
-null id is an id; repeated documents or items are reported each; an empty table gives no rows; extra columns are kept out
+Defined cases: null and empty texts leak nothing, and null and empty items are in nothing; a null id is an id; repeated
+documents or items are reported each, whether their ids differ or not; an empty table gives no rows; extra columns are kept out
 of the report.
 """
 
@@ -25,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .textops import Texts, map_texts, mix, slices
 
-Q, WINDOW, EDITS_PER = 10, 96, 16
-BLOCK_CHARS = 8_000_000
-_BASE, _BASE2, _BASE4 = (np.uint64(pow(0x9E3779B97F4A7C15, n, 1 << 64)) for n in (1, 2, 4))
+Q, SHORT_Q, WINDOW, EDITS_PER = 10, 5, 96, 16
+BLOCK_CHARS = 2_000_000
+BASE = 0x9E3779B97F4A7C15
 _LOWER = np.array([ord(c.lower()) if len(c.lower()) == 1 else i for i, c in enumerate(map(chr, range(0x3000)))], np.uint32)
 _BLANK = np.zeros(0x3001, bool)
 _BLANK[[i for i in range(0x3001) if chr(i).isspace()]] = True
@@ -53,52 +56,56 @@ def normalised(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes[kept], at, kept - np.repeat(offsets[:-1], np.diff(at))
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    """Hash of the Q code points from each position; shorter input has none."""
-    if len(codes) < Q:
+def grams(codes: np.ndarray, size: int = Q) -> np.ndarray:
+    """Hash of the size code points from each position; shorter input has none."""
+    if len(codes) < size:
         return np.zeros(0, np.uint64)
     c = codes.astype(np.uint64)
-    two = c[:-1] * _BASE + c[1:]
-    four = two[:-2] * _BASE2 + two[2:]
-    eight = four[:-4] * _BASE4 + four[4:]
-    return mix(eight[:-2] * _BASE2 + two[8:])
+    out, width = c, 1
+    for bit in f"{size:b}"[1:]:  # twice as wide, and one more where the size's binary digit says so
+        out = out[:-width] * np.uint64(pow(BASE, width, 1 << 64)) + out[width:]
+        width *= 2
+        if bit == "1":
+            out = out[:-1] * np.uint64(BASE) + c[width:]
+            width += 1
+    return mix(out)
+
+
+def gram_size(chars: int) -> int:
+    """Q, or less for short windows, so that the lemma's bound is 1 at least at their edit budget."""
+    return Q if chars >= 2 * Q else min(chars, SHORT_Q)
 
 
 class Index:
-    """Windows of a block of items and the q-grams they hold."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        owner, window_at, patterns = [], [], []
-        for item, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            codes, _, _ = normalised(Texts(raw, np.array([0, len(raw)])))
-            if len(codes) < Q:
-                continue
+    """Windows of a block of items (id, code points) that have q-grams of one size, and these q-grams."""
+
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], q: int = Q):
+        item_no, window_at, patterns = [], [], []
+        for n, (_, codes) in enumerate(items):
             starts = list(range(0, max(1, len(codes) - WINDOW + 1), WINDOW // 2))
             if starts[-1] + WINDOW < len(codes):
                 starts.append(len(codes) - WINDOW)
             for s in starts:
-                owner.append(item)
+                item_no.append(n)
                 window_at.append(s)
                 patterns.append(codes[s : s + WINDOW])
-        self.owner, self.window_at = owner, window_at
+        self.q, self.ids, self.owner, self.window_at = q, [i for i, _ in items], item_no, window_at
         self.length = np.array([len(p) for p in patterns], np.int64)
         self.edits = self.length // EDITS_PER
-        self.bound = np.maximum(self.length + 1 - Q * (self.edits + 1), 1)
+        self.bound = self.length + 1 - q * (self.edits + 1)
         self.pattern = np.zeros((len(patterns), WINDOW), np.uint32)
         hashes, window, place = [], [], []
         for i, p in enumerate(patterns):
             self.pattern[i, : len(p)] = p
-            g = grams(p)
+            g = grams(p, q)
             hashes.append(g)
-            window.append(np.full(len(g), i, np.int64))
-            place.append(np.arange(len(g)))
-        hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+            window.append(np.full(len(g), i, np.int32))
+            place.append(np.arange(len(g), dtype=np.int32))
+        hashes = np.concatenate(hashes)
         order = np.argsort(hashes, kind="stable")
         self.keys, first = np.unique(hashes[order], return_index=True)
         self.first = np.concatenate([first, [len(order)]])
-        self.window = np.concatenate(window)[order] if window else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
+        self.window, self.place = np.concatenate(window)[order].astype(np.int32), np.concatenate(place)[order].astype(np.int32)
         self.filter = np.zeros(1 << 22, bool)
         self.filter[self.keys >> np.uint64(42)] = True
 
@@ -110,7 +117,18 @@ class Index:
         maybe, at = maybe[same], at[same]
         n = self.first[at + 1] - self.first[at]
         posting = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.repeat(maybe, n), self.window[posting], self.place[posting]
+        return np.repeat(maybe, n), self.window[posting].astype(np.int64), self.place[posting].astype(np.int64)
+
+
+def indexes_of(items: list[tuple[int | None, str | None]]) -> list[Index]:
+    """An index for each size of q-grams that the items' lengths ask for; empty items have none."""
+    by_size: dict = defaultdict(list)
+    for item, text in items:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        codes, _, _ = normalised(Texts(raw, np.array([0, len(raw)])))
+        if len(codes):
+            by_size[gram_size(len(codes))].append((item, codes))
+    return [Index(some, q) for q, some in sorted(by_size.items())]
 
 
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +137,7 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def candidates(index: Index, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, window, first diagonal of the band) of all bands that reach the bound."""
-    at, window, place = index.hits(grams(codes))
+    at, window, place = index.hits(grams(codes, index.q))
     text = np.searchsorted(offsets, at, "right") - 1
     pair = text * len(index.owner) + window
     keys, n = counted(pair)
@@ -165,31 +183,30 @@ def align(index: Index, codes: np.ndarray, offsets: np.ndarray, text: np.ndarray
     return value // 1024, diagonal + value % 1024, diagonal + best + length
 
 
-def leaks_in(index: Index, codes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-    """(text, item position in index.owner, start, end, edits of the worst window, windows), merged by item."""
-    if not len(index.keys):
-        return []
-    text, window, diagonal = candidates(index, codes, offsets)
-    if not len(text):
-        return []
-    edits, start, end = align(index, codes, offsets, text, window, diagonal)
-    good = (edits <= index.edits[window]) & (end > start)
-    found: dict = defaultdict(dict)
-    for t, w, e, a, b in zip(text[good].tolist(), window[good].tolist(), edits[good].tolist(), start[good].tolist(), end[good].tolist(), strict=True):
-        spans = found[(t, index.owner[w])]
-        if (w, a) not in spans or spans[(w, a)][2] > e:
-            spans[(w, a)] = (max(a, 0), b, e, w)
+def leaks_in(indexes: list[Index], codes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int | None, int, int, int, int]]:
+    """(text, item id, start, end, edits of the worst window, windows), merged by item."""
     out = []
-    for (t, _), spans in found.items():
-        merged: list = []
-        for a, b, e, w in sorted(spans.values()):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-                merged[-1][2] = max(merged[-1][2], e)
-                merged[-1][4].add(w)
-            else:
-                merged.append([a, b, e, w, {w}])
-        out += [(t, w, a, b, e, len(ws)) for a, b, e, w, ws in merged]
+    for index in indexes:
+        text, window, diagonal = candidates(index, codes, offsets)
+        if not len(text):
+            continue
+        edits, start, end = align(index, codes, offsets, text, window, diagonal)
+        good = (edits <= index.edits[window]) & (end > start)
+        found: dict = defaultdict(dict)
+        for t, w, e, a, b in zip(text[good].tolist(), window[good].tolist(), edits[good].tolist(), start[good].tolist(), end[good].tolist(), strict=True):
+            spans = found[(t, index.owner[w])]
+            if (w, a) not in spans or spans[(w, a)][2] > e:
+                spans[(w, a)] = (max(a, 0), b, e, w)
+        for (t, item), spans in found.items():
+            merged: list = []
+            for a, b, e, w in sorted(spans.values()):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                    merged[-1][2] = max(merged[-1][2], e)
+                    merged[-1][3].add(w)
+                else:
+                    merged.append([a, b, e, {w}])
+            out += [(t, index.ids[item], a, b, e, len(ws)) for a, b, e, ws in merged]
     return out
 
 
@@ -203,7 +220,7 @@ def blocks_of(benchmark: DataFrame, block_chars: int):
     blocks = -(-chars // block_chars) or 1
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in part]))
+        yield benchmark.sparkSession.sparkContext.broadcast(indexes_of([(r.item_id, r.text) for r in part]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -213,13 +230,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
 
         def work(rows, texts, shared=shared):
             codes, offsets, place = normalised(texts)
-            index = shared.value
-            found = leaks_in(index, codes, offsets)
+            found = leaks_in(shared.value, codes, offsets)
             if not found:
                 return None
             ids = rows["doc_id"].to_pylist()
             to_text = lambda t, x: int(place[min(offsets[t] + x, offsets[t + 1] - 1)])
-            columns = list(zip(*[(ids[t], index.owner[w], to_text(t, a), to_text(t, b - 1) + 1, e, n) for t, w, a, b, e, n in found], strict=True))
+            columns = list(zip(*[(ids[t], item, to_text(t, a), to_text(t, b - 1) + 1, e, n) for t, item, a, b, e, n in found], strict=True))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
             return {n: pa.array(c, k) for n, c, k in zip(("doc_id", "item_id", "start", "end", "edits", "windows"), columns, kinds, strict=True)}
 
