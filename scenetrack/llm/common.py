@@ -43,6 +43,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+MOST_HOT = 1_000
+
+
+def with_hot_keys(big: DataFrame, small: DataFrame, keys: list[str], members: str, total: int, how: str = "inner") -> DataFrame:
+    """big joined with small (one row per key, with the number of big's rows that hold it); how: inner, left or left_semi.
+
+    Keys with more than total / MOST_HOT members, of which there are MOST_HOT at most, meet big by broadcast, so that no
+    task gets all rows of a frequent key; the others are shuffled. small is read twice.
+    """
+    often = F.col(members) * MOST_HOT > total
+    hot, rest = small.where(often), small.where(~often)
+    few = F.broadcast(hot.select(*keys))
+    fits = big.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner")
+    others = big.join(few, keys, "left_anti").join(rest, keys, how)
+    return fits.unionByName(others)
+
+
 def fold(column: str, modulus: int) -> Column:
     """Fold of a row: crc32 of the id's decimal text, modulo; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

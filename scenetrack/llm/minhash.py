@@ -15,25 +15,28 @@ make buckets. Within a bucket, members are not paired with each other:
      of two texts exactly, so that no link between different components of a bucket is lost.
 Two documents link if the Jaccard similarity of their sets of runs is THRESHOLD at least, computed from whole texts.
 
-Defined cases: null and blank texts have no words and are one class of exact copies; repeated rows are copies; an empty
-table gives no rows; extra columns are ignored; very long texts are bounded by one text's memory.
+Inside, rows are told apart by 64 bits of their id and text, so ids may be null or repeat with different texts.
+
+Defined cases: null and blank texts have no words and are one class of exact copies; repeated rows are copies; rows of one
+id with different texts are documents of their own, as are rows without an id; an empty table gives no rows; extra columns
+are ignored; very long texts are bounded by one text's memory.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut_lineage, table
+from .common import cut_lineage, table, with_hot_keys
 from .components import components
 from .textops import Texts, U, column_texts, map_texts, mix, record_batch
 
 SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
+PART_PAIRS = 1_000  # pairs of a hub that meet one copy of its text
 
 
 def weighted_runs(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
@@ -68,8 +71,13 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, weight: np.ndarray, texts:
     return kept
 
 
+def row_key() -> Column:
+    """64 bits that tell rows apart by id and text; equal rows share theirs."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, one, two (fingerprint of the words), runs (number of different runs), keys (one per band)."""
+    """doc_id, row_key, one, two (fingerprint of the words), runs (number of different runs), keys (one per band)."""
 
     def work(rows, texts):
         owner, hashes, weight, (one, two) = weighted_runs(texts)
@@ -77,9 +85,10 @@ def sketch(docs: DataFrame) -> DataFrame:
         keys = np.zeros((len(texts), BANDS), U)
         for r in range(ROWS):
             keys = mix(keys * U(31) + kept[:, r::ROWS] + np.arange(BANDS, dtype=U) * U(0xD1342543DE82EF95))
-        return {"doc_id": rows["doc_id"], "one": one, "two": two, "runs": np.bincount(owner, minlength=len(texts)).astype(np.int32), "keys": keys}
+        return {"doc_id": rows["doc_id"], "row_key": rows["row_key"], "one": one, "two": two, "runs": np.bincount(owner, minlength=len(texts)).astype(np.int32), "keys": keys}
 
-    return map_texts(docs.select("doc_id", "text"), "doc_id long, one long, two long, runs int, keys array<long>", work)
+    kind = "doc_id long, row_key long, one long, two long, runs int, keys array<long>"
+    return map_texts(docs.select("doc_id", "text", row_key().alias("row_key")), kind, work)
 
 
 def run_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -88,11 +97,20 @@ def run_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b) whose whole texts have the similarity."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+def with_both_texts(pairs: DataFrame, texts: DataFrame, hub: str, other: str, total: int) -> DataFrame:
+    """pairs (hub, other) with text_a (the hub's) and text_b. A hub of many pairs meets them in parts of PART_PAIRS, each
+    with a copy of its text, so that no task gets all of them; total bounds the pairs of all hubs."""
+    degree = cut_lineage(pairs.groupBy(hub).agg(F.count("*").alias("degree")).withColumn("parts", F.ceil(F.col("degree") / PART_PAIRS)))
+    dealt = with_hot_keys(pairs, degree, [hub], "degree", total).withColumn("part", F.pmod(F.xxhash64(other), F.col("parts"))).select(hub, other, "part")
+    hubs = texts.select(F.col("doc_id").alias(hub), F.col("text").alias("text_a")).join(degree, hub)
+    hubs = hubs.select(hub, "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    others = texts.select(F.col("doc_id").alias(other), F.col("text").alias("text_b"))
+    return dealt.join(others, other).join(hubs, [hub, "part"]).select(hub, other, "text_a", "text_b")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, total: int) -> DataFrame:
+    """pairs (a, b) whose whole texts have the similarity; a is the hub of several."""
+    both = with_both_texts(pairs, texts, "a", "b", total)
 
     def check(rows, texts_a):
         hashes_a, at_a = run_sets(texts_a)
@@ -120,21 +138,24 @@ def run_rows(texts: DataFrame) -> DataFrame:
     return map_texts(texts.select("doc_id", "text"), "doc_id long, run long", work)
 
 
-def links_of(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a, b) that connect all documents of the buckets (key, doc_id) which similar texts connect."""
-    centre = buckets.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    starred = cut_lineage(buckets.join(centre, "key"))
-    stars = starred.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+def links_of(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, threshold: float, total: int) -> DataFrame:
+    """Verified links (a, b) that connect all documents of the buckets (key, doc_id) which similar texts connect.
+
+    total is the number of documents in buckets. Frequent keys are met by broadcast (BANDS * MOST_HOT rows at most).
+    """
+    centre = cut_lineage(buckets.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("members")).where("members > 1"))
+    starred = cut_lineage(with_hot_keys(buckets, centre, ["key"], "members", total))
+    stars = cut_lineage(starred.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct())
     wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    few = cut_lineage(texts.join(wanted, "doc_id", "left_semi"))
-    links = cut_lineage(verified(stars, few, threshold))
+    few = cut_lineage(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    links = cut_lineage(verified(stars, few, threshold, total))
 
     def open_rows(links: DataFrame) -> DataFrame:
         """Rows of buckets of three and more with several components, with the component."""
         named = starred.where("members > 2").join(components(links).select(F.col("vertex").alias("doc_id"), "component"), "doc_id", "left")
-        named = named.withColumn("component", F.coalesce("component", "doc_id"))
-        several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        return named.join(several, "key", "left_semi").select("key", "doc_id", "component", "centre")
+        named = cut_lineage(named.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "centre", "members"))
+        several = cut_lineage(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("members").alias("members")).where("lo <> hi"))
+        return with_hot_keys(named, several, ["key"], "members", total, "left_semi")
 
     rest = cut_lineage(open_rows(links))
     ids = rest.select("doc_id").distinct()
@@ -142,21 +163,19 @@ def links_of(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, threshold:
     alone = runs.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
     shared = ids.join(sizes, "doc_id").join(alone, "doc_id", "left").select("doc_id", "runs", (F.col("runs") - F.coalesce("alone", F.lit(0))).alias("shared"))
     shared = cut_lineage(shared.where(F.col("shared") >= threshold * F.col("runs")))
-    live = rest.join(shared, "doc_id")
-    seconds = cut_lineage(live.groupBy("key").agg(F.max_by("doc_id", F.struct(F.col("shared") / F.col("runs"), -F.col("doc_id"))).alias("second")))
-    again = live.join(seconds, "key").where("doc_id <> second and second <> centre").select(F.least("doc_id", "second").alias("a"), F.greatest("doc_id", "second").alias("b")).distinct()
-    links = cut_lineage(links.union(verified(again, few, threshold)))
-    live = open_rows(links).join(shared, "doc_id").join(seconds, "key").select("key", "doc_id", "component", "centre", "runs", "shared", "second")
-    live = cut_lineage(live)
-    near = live.join(differences(live.select("doc_id", "second").distinct(), few), ["doc_id", "second"])
+    live = cut_lineage(rest.drop("members").join(shared, "doc_id"))
+    seconds = cut_lineage(live.groupBy("key").agg(F.max_by("doc_id", F.struct(F.col("shared") / F.col("runs"), -F.col("doc_id"))).alias("second"), F.count("*").alias("members")))
+    again = with_hot_keys(live, seconds, ["key"], "members", total).where("doc_id <> second and second <> centre").select(F.col("second").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = cut_lineage(links.union(verified(cut_lineage(again), few, threshold, total)))
+    live = open_rows(links).drop("members").join(shared, "doc_id")
+    live = cut_lineage(with_hot_keys(live, seconds, ["key"], "members", total).select("key", "doc_id", "component", "centre", "runs", "shared", "second"))
+    near = live.join(differences(cut_lineage(live.select("second", "doc_id").distinct()), few, total), ["doc_id", "second"])
     return cut_lineage(links.union(across(near, threshold)))
 
 
-def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (doc_id, second) with the runs that only the document has, those only the centre has, and the centre's number."""
-    left = texts.select("doc_id", F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("second"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "doc_id").join(right, "second").select("doc_id", "second", "text_a", "text_b")
+def differences(pairs: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+    """pairs (second, doc_id) with the runs that only the document has, those only the centre has, and the centre's number."""
+    both = with_both_texts(pairs, texts, "second", "doc_id", total).select("doc_id", "second", F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b"))
 
     def work(rows, texts_a):
         hashes_a, at_a = run_sets(texts_a)
@@ -185,45 +204,47 @@ def across(near: DataFrame, threshold: float) -> DataFrame:
     return x.join(y, may & similar).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (least id of its class), copies (rows with the same words), kept.
-
-    A class is a connected component of links. kept marks the first document of each class. Null ids are left out.
-    """
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+def classes_of(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (doc_id, row_key, one, two) of docs; per word sequence (one, two) its copies and its class, which is told by
+    its first row: head (no_id, doc_id, row_key); and the number of rows."""
     sketches = cut_lineage(sketch(docs))
-    first = cut_lineage(sketches.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-    heads = sketches.where("runs > 0").join(first.select("first"), F.col("doc_id") == F.col("first"), "left_semi")
-    heads = heads.groupBy("doc_id").agg(F.first("runs").alias("runs"), F.first("keys").alias("keys"))
+    total = sketches.count()
+    place = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row_key")
+    first = cut_lineage(sketches.groupBy("one", "two").agg(F.min(place).alias("head"), F.count("*").alias("copies"), F.first("runs").alias("runs"), F.first("keys").alias("keys")))
+    heads = first.where("runs > 0").select(F.col("head.row_key").alias("doc_id"), "runs", "keys")
     buckets = heads.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
-    unique = docs.dropDuplicates(["doc_id"])
-    links = links_of(buckets, heads.select("doc_id", "runs"), unique, threshold)
-    found = first.join(components(links).withColumnRenamed("vertex", "first"), "first", "left")
-    found = found.select("one", "two", "copies", F.coalesce("component", "first").alias("class_id"))
-    out = sketches.select("doc_id", "one", "two").join(found, ["one", "two"])
-    return out.select("doc_id", "class_id", "copies", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    texts = docs.select(row_key().alias("doc_id"), "text")
+    links = links_of(buckets, heads.select("doc_id", "runs"), texts, threshold, total)
+    named = first.select("one", "two", "copies", "head", F.col("head.row_key").alias("vertex")).join(components(links), "vertex", "left")
+    named = cut_lineage(named.withColumn("component", F.coalesce("component", "vertex")))
+    tops = named.groupBy("component").agg(F.min("head").alias("head"), F.count("*").alias("texts"))
+    classes = cut_lineage(with_hot_keys(named.drop("head"), cut_lineage(tops), ["component"], "texts", total))
+    return sketches.select("doc_id", "row_key", "one", "two"), classes.select("one", "two", "copies", "head"), total
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each class of near-duplicate texts, whatever its id: the one with the least id, null ids last.
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, copies (rows with the same words), kept; one row per row of docs.
 
-    Rows are told apart by their text: classes are those of the texts' first fingerprints, so that null ids and ids with
-    several texts are like any others. Of equal rows one stays.
+    A class is a connected component of links. class_id is the least id of its rows; where another class has that id
+    too (rows of one id with different texts), or no row has an id, it is a negative number drawn from the class's first
+    row. kept marks the first row of each class, by id (null ids last), and rows equal to it.
     """
-    one, two = (name + "_" * max(map(len, docs.columns)) for name in ("one", "two"))  # no column is as long
-
-    def work(rows, texts):
-        prints = texts.words().fingerprints()
-        return dict(zip(rows.schema.names, rows.columns, strict=True)) | dict(zip((one, two), prints, strict=True))
-
-    schema = StructType([*docs.schema.fields, StructField(one, LongType()), StructField(two, LongType())])
-    rows = cut_lineage(map_texts(docs, schema, work))
-    classes = near_duplicates(rows.select(F.col(one).alias("doc_id"), "text")).select("doc_id", "class_id").distinct()
-    ids = rows.select(F.col(one).alias("one"), F.col(two).alias("two"), F.col("doc_id").alias("id"))
-    heads = ids.join(classes, F.col("one") == F.col("doc_id")).groupBy("class_id").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "one", "two")).alias("head"))
-    kept = cut_lineage(heads.select("head.*")).select(F.col("id").alias(one + "id"), F.col("one").alias(one), F.col("two").alias(two))
-    out = rows.join(kept, [one, two]).where(F.col("doc_id").eqNullSafe(F.col(one + "id")))
-    return out.dropDuplicates([one, two]).select(docs.columns)
+    rows, classes, total = classes_of(docs, threshold)
+    head = classes.select("head").distinct().select("head.*")
+    shared = Window.partitionBy(F.coalesce("doc_id", "row_key")).orderBy("row_key")  # classes with one least id
+    number = F.when(F.isnotnull("doc_id") & (F.row_number().over(shared) == 1), F.col("doc_id")).otherwise(-F.abs(F.col("row_key").bitwiseAND(F.lit((1 << 62) - 1))) - 1)
+    named = head.select(F.col("row_key").alias("top"), number.alias("class_id"))
+    found = classes.select("one", "two", "copies", F.col("head.row_key").alias("top")).join(named, "top")
+    out = with_hot_keys(rows, cut_lineage(found), ["one", "two"], "copies", total)
+    return out.select("doc_id", "class_id", "copies", (F.col("row_key") == F.col("top")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The first row of each class of near-duplicate texts, by id (null ids last); of rows equal to it one stays."""
+    _, classes, _ = classes_of(docs, threshold)
+    name = "row_key" + "_" * max(map(len, docs.columns))  # no column is as long
+    heads = cut_lineage(classes.select(F.col("head.row_key").alias(name)).distinct())
+    return docs.withColumn(name, row_key()).join(heads, name, "left_semi").dropDuplicates([name]).select(docs.columns)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
