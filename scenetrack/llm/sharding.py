@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, table
+from .common import cut_lineage, table, with_hot_keys
 
 SHARDS, ROUNDS, SLACK, PACKED = 16, 4, 0.2, 64
 
@@ -35,10 +35,10 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def units_of(rows: DataFrame, most: int) -> DataFrame:
+def units_of(rows: DataFrame, most: int, count: int) -> DataFrame:
     """rows with unit (group, or chunk of a large group) and whether it has links."""
-    groups = rows.groupBy("g1", "g2").agg(F.count("*").alias("members")).where("members > 1")
-    joined = rows.join(groups, ["g1", "g2"], "left")
+    groups = cut_lineage(rows.groupBy("g1", "g2").agg(F.count("*").alias("members")).where("members > 1"))
+    joined = with_hot_keys(rows, groups, ["g1", "g2"], "members", count, "left")
     chunks = F.ceil(F.col("members") / F.lit(most))
     chunk = F.coalesce(F.pmod("ord", chunks), F.lit(0))
     unit = F.xxhash64("g1", "g2", F.coalesce(chunk, F.lit(0)))
@@ -57,11 +57,17 @@ def packed(rows: DataFrame, shards: int, count: int) -> DataFrame:
     return rows.join(F.broadcast(rows.sparkSession.createDataFrame(homes, "unit long, home int")), "unit", "left")
 
 
+def movable(rows: DataFrame) -> DataFrame:
+    """rows with the unit to move with, as moves: large units stay in their homes, so their rows get keys of their own, as
+    do rows without links; no key has more than 1/PACKED of a shard."""
+    return rows.withColumn("moves", F.when(F.col("linked") & F.isnull("home"), F.col("unit")).otherwise(F.xxhash64("unit", "ord")))
+
+
 def propagate(rows: DataFrame, round_no: int, capacity: float) -> DataFrame:
     """One round over linked rows and the sizes of all: new label of each row."""
-    tally = rows.where("linked").groupBy("unit", "label").agg(F.count("*").alias("n"))
+    tally = rows.where("linked and home is null").groupBy("unit", "label").agg(F.count("*").alias("n"))
     best = tally.groupBy("unit").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("best"))
-    wish = rows.join(best, "unit", "left").withColumn("best", F.coalesce("best", "label"))
+    wish = movable(rows).join(best.withColumnRenamed("unit", "moves"), "moves", "left").drop("moves").withColumn("best", F.coalesce("best", "label"))
     moves = wish.groupBy("label", "best").agg(F.count("*").alias("n"))  # shards * shards rows at most
     into = moves.where("label <> best").groupBy(F.col("best").alias("to")).agg(F.sum("n").alias("coming"))
     of = moves.groupBy(F.col("label").alias("at")).agg(F.sum("n").alias("there"), F.sum(F.when(F.col("label") != F.col("best"), F.col("n")).otherwise(0)).alias("going"))
@@ -77,7 +83,7 @@ def together(rows: DataFrame) -> DataFrame:
     """Every linked unit in the shard that holds most of it."""
     tally = rows.where("linked and home is null").groupBy("unit", "label").agg(F.count("*").alias("n"))
     best = tally.groupBy("unit").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("best"))
-    return rows.join(best, "unit", "left").withColumn("label", F.coalesce("best", "label")).drop("best")
+    return movable(rows).join(best.withColumnRenamed("unit", "moves"), "moves", "left").withColumn("label", F.coalesce("best", "label")).drop("best", "moves")
 
 
 def level(rows: DataFrame, shards: int, count: int) -> DataFrame:
@@ -116,7 +122,7 @@ def shard_documents(docs: DataFrame, shards=SHARDS, rounds=ROUNDS, slack=SLACK)
     rows = cut_lineage(linked_rows(docs))
     count = rows.count()
     capacity = (1 + slack) * count / shards
-    rows = packed(cut_lineage(units_of(rows, max(1, count // shards)).drop("g1", "g2")), shards, count)
+    rows = packed(cut_lineage(units_of(rows, max(1, count // shards), count).drop("g1", "g2")), shards, count)
     rows = cut_lineage(rows.withColumn("label", F.coalesce("home", F.pmod("ord", F.lit(shards)).cast("int"))))
     for round_no in range(rounds):
         rows = cut_lineage(propagate(rows, round_no, capacity))
@@ -124,5 +130,13 @@ def shard_documents(docs: DataFrame, shards=SHARDS, rounds=ROUNDS, slack=SLACK)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def cut_edges(placed: DataFrame, text: str = "text_crc32") -> DataFrame:
+    """edges, cut: all pairs of rows with equal texts, and those of them in different shards (from counts, not from pairs)."""
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    by_shard = placed.groupBy(text, "size", "shard").agg(F.count("*").cast("double").alias("n"))
+    groups = by_shard.groupBy(text, "size").agg(F.sum("n").alias("n"), F.sum(pairs).alias("whole"))
+    return groups.agg(F.coalesce(F.sum(pairs), F.lit(0.0)).alias("edges"), F.coalesce(F.sum(pairs - F.col("whole")), F.lit(0.0)).alias("cut"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
