@@ -5,6 +5,9 @@ Each source has a linear weight schedule over training time t in [0, 1]:
 A source's documents stand in a fixed pseudo-random order and are read over and over until its target is met. A
 document whose words begin at cumulative token c of that stream is trained at the t with demand(t) = c.
 
+The words that a source's documents take add up to its target, rounded; a whole-document mix (mixed_documents) is within half
+a document of it.
+
 Defined cases: a null or blank text has size 0 and takes nothing; a null source is a source of its own, last in
 order; repeated rows are rows of their own; an empty table gives an empty plan; extra columns are ignored.
 """
@@ -22,15 +25,16 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 
 
-def text_key() -> Column:
-    """Ties a plan row to its document's row when ids repeat."""
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def keys() -> list[Column]:
+    """k1, k2: 128 bits of a row's id, source and text; equal rows share theirs."""
+    parts = [F.isnull("doc_id"), "doc_id", F.isnull("source"), "source", F.coalesce("text", F.lit(""))]
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(9), *parts).alias("k2")]
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, text_key, size (words of the whole text)."""
+    """doc_id, source, k1, k2, size (words of the whole text)."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", text_key().alias("text_key"), words.alias("size"))
+    return docs.select("doc_id", "source", *keys(), words.alias("size"))
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, most=MOST_REPEATS) -> DataFrame:
@@ -72,15 +76,14 @@ def time_of(words: Column) -> Column:
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, most=MOST_REPEATS) -> DataFrame:
-    """Per row of docs: doc_id, source, text_key, size, source_size, target, taken, takes (array of taken, position).
+    """Per row of docs: doc_id, source, k1, k2, size, source_size, target, taken, takes (array of taken, position).
 
-    Documents are ordered within a source by a hash of the id. Running sums come from sums of hash buckets, so no
+    Documents are ordered within a source by a hash of the row. Running sums come from sums of hash buckets, so no
     task holds a whole source. The last document of a source is taken up to the word where its demand ends.
     """
     sized = cut_lineage(sizes(docs))
     buckets = max(1, math.isqrt(sized.count()))  # as many as rows in each
-    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(9))
-    sized = sized.withColumn("ord", order).withColumn("bucket", F.pmod("ord", F.lit(buckets)))
+    sized = sized.withColumn("bucket", F.pmod("k2", F.lit(buckets)))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0))).drop("in_bucket")
@@ -88,7 +91,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, most=MOST_REPEATS) -> DataFrame:
     named = sums.alias("b").join(source_targets(sized, weights, most).alias("s"), F.col("b.source").eqNullSafe(F.col("s.source")))
     named = named.select(F.col("b.source").alias("of"), "bucket", "base", "source_size", "target", "slope").withColumnRenamed("bucket", "of_bucket")
     joined = sized.join(named, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("of_bucket")))
-    within = Window.partitionBy("source", "bucket").orderBy("ord", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("k2", "k1").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))
     want = F.round("target").cast("long")
 
@@ -100,27 +103,56 @@ def plan(docs: DataFrame, weights=WEIGHTS, most=MOST_REPEATS) -> DataFrame:
     takes = F.filter(F.array(*[take(e) for e in range(most)]), lambda x: x["taken"] > 0)
     out = joined.withColumn("begin", begin).withColumn("takes", takes)
     taken = F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["taken"])
-    return out.select("doc_id", "source", "text_key", "size", "source_size", "target", taken.alias("taken"), "takes")
+    return out.select("doc_id", "source", "k1", "k2", "size", "source_size", "target", taken.alias("taken"), "takes")
 
 
 def curriculum(docs: DataFrame, **options) -> DataFrame:
-    """Per row of docs its size, target, words taken and first training position, range-sorted by position."""
-    rows = plan(docs, **options).select("doc_id", "source", "size", "source_size", "target", "taken", F.size("takes").cast("long").alias("repeats"), F.try_element_at("takes", F.lit(1))["position"].alias("position"))
+    """Per row of docs its size, target, words taken and training positions (one per take), range-sorted by the first."""
+    places = F.transform("takes", lambda x: x["position"])
+    rows = plan(docs, **options).select("doc_id", "source", "size", "source_size", "target", "taken", F.size("takes").cast("long").alias("repeats"), F.try_element_at(places, F.lit(1)).alias("position"), places.alias("positions"))
     return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each document as often as the mix takes it; a take counts from half of its words on.
+def training_order(docs: DataFrame, **options) -> DataFrame:
+    """One row per take of a document: doc_id, source, size, take (from 1), taken, position; range-sorted by position."""
+    rows = plan(docs, **options).select("doc_id", "source", "size", F.posexplode("takes").alias("take", "t"))
+    rows = rows.select("doc_id", "source", "size", (F.col("take") + 1).alias("take"), "t.taken", "t.position")
+    return rows.orderBy("position", "doc_id", "take")
 
-    Repeated equal rows share their takes evenly, rounded.
-    """
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """One row of docs per take of a document, range-sorted by training position; documents stay whole, so the one at
+    which a source's demand ends counts from half of its words on. Equal rows get a take list each."""
     whole = F.filter("takes", lambda x: 2 * x["taken"] >= F.col("size"))
-    copies = plan(docs, **options).select("doc_id", "source", "text_key", F.size(whole).alias("copies"))
-    copies = copies.groupBy("doc_id", "source", "text_key").agg(F.round(F.avg("copies")).cast("int").alias("copies")).where("copies > 0")
-    each = copies.select("*", F.explode(F.sequence(F.lit(1), "copies")))
-    here, there = docs.alias("d"), each.alias("m")
-    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("m.text_key"))
-    return here.join(there, same).select("d.*")
+    lists = plan(docs, **options).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(whole)).alias("lists"))
+    rows = docs.select(F.struct("*").alias("d"), *keys())
+    rows = rows.withColumn("no", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1")))
+    each = rows.join(lists, ["k1", "k2"]).select("d", F.explode(F.try_element_at("lists", F.col("no"))).alias("take"))
+    return each.orderBy("take.position").select("d.*")
+
+
+def targets(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size and its source's target (3 digits) of each document: the plan before any document is placed."""
+    rows = plan(docs)
+    return rows.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+TARGETS_SQL = """
+with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size from documents),
+sources as (select source, sum(size)::bigint as source_size from sized group by source),
+ranked as (select *, 3.0 * source_size as most, [5.0, 2.0, 1.0][((row_number() over (order by source nulls last)) - 1) % 3 + 1]::double as weight from sources),
+levels as (select *, row_number() over w as place,
+    (sum(source_size) over () - coalesce(sum(most) over (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by most / weight, source nulls last rows between current row and unbounded following) as level
+    from ranked window w as (order by most / weight, source nulls last)),
+shared as (select *, (select level from levels where level <= most / weight order by place limit 1) as common from levels)
+select d.doc_id, d.size::bigint as size, s.source_size, round(least(s.weight * coalesce(s.common, 1e300), s.most)::double, 3) as target
+from sized d join shared s on d.source is not distinct from s.source
+"""
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return targets(table(spark, sf_dir, "documents"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

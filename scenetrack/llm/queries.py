@@ -5,7 +5,7 @@ from __future__ import annotations
 from .decontaminate import op1_decontaminate
 from .media import op4_media
 from .minhash import op5_minhash
-from .mixing import op9_mixing
+from .mixing import TARGETS_SQL, mixing_targets, op9_mixing
 from .passages import op6_passages
 from .pii import op10_pii
 from .quality import op3_quality
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
+    "mixing_targets": mixing_targets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"mixing_targets": TARGETS_SQL}

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import math
 import random
 import re
 import zipfile
@@ -494,6 +495,61 @@ def test_mix_meets_targets(spark, seed):
     assert places == sorted(places) and got == mixing.curriculum(frame(spark, rows)).collect()
 
 
+def takes_by_rounds(rows, got):
+    """Position of every take, by walking through each source's documents in the plan's order until its target is met."""
+    order = {(r.doc_id, r.source): (r.k2 % math.isqrt(len(rows)), r.k2, r.k1) for r in got}
+    out, of = {}, {r.source: r for r in got}
+    slopes = {s: (0.4 if k % 2 else -0.4) for k, s in enumerate(sorted(of, key=lambda s: (s is None, s or "")))}
+    total = sum(r.target for r in of.values())
+    mean = sum(slopes[s] * of[s].target for s in of) / total
+    for s, source in of.items():
+        docs = sorted(((order[i, s], i, len(t.split())) for i, t, x in rows if x == s))
+        target, slope, at = source.target, slopes[s] - mean, 0
+        for _ in range(3):
+            for _, i, size in docs:
+                if min(size, round(target) - at) > 0:
+                    out.setdefault((i, s), []).append((at / target, slope))
+                at += size
+    return {k: v for k, v in out.items()}
+
+
+def test_every_take_has_its_position(spark):
+    r = random.Random(11)
+    rows = [(k, prose(r.randint(0, 60), k), r.choice(["a", "b", None, "hot", "hot"])) for k in range(120)]
+    got = mixing.plan(frame(spark, rows)).collect()
+    wanted = takes_by_rounds(rows, got)
+    assert {k: len(v) for k, v in wanted.items()} == {(x.doc_id, x.source): len(x.takes) for x in got if x.takes}
+    for x in got:
+        for take, (share, slope) in zip(x.takes, wanted.get((x.doc_id, x.source), []), strict=True):
+            t = take.position
+            assert t + slope * (t * t - t) == pytest.approx(share, abs=1e-6)
+    order = mixing.training_order(frame(spark, rows)).collect()
+    assert [x.position for x in order] == sorted(x.position for x in order) and len(order) == sum(map(len, wanted.values()))
+
+
+def test_mixed_documents_keep_totals_and_order(spark):
+    rows = [(k % 40, prose(20 + k % 40, k % 40), "a" if k % 40 < 30 else None) for k in range(90)] + [(None, prose(9, 5), "b")] * 7
+    data = frame(spark, rows)
+    got = mixing.mixed_documents(data)
+    assert got.columns == data.columns
+    planned = Counter()
+    for x in mixing.training_order(data).where("2 * taken >= size").collect():
+        planned[x.doc_id, x.source] += 1
+    found = got.select("doc_id", "source").collect()
+    assert Counter((x.doc_id, x.source) for x in found) == planned
+    first = mixing.training_order(data).where("2 * taken >= size").select("doc_id", "source").collect()
+    assert [x.source for x in found[5:]] == [x.source for x in first[5:]]
+
+
+def test_targets_equal_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{DIR}/documents.parquet'")
+    wanted = con.execute(f"select doc_id, size, source_size, target from ({mixing.TARGETS_SQL})").fetchall()
+    assert sorted(tuple(r) for r in mixing.mixing_targets(spark, DIR).collect()) == sorted(wanted)
+
+
 def test_positions_invert_the_schedule(spark):
     one = spark.createDataFrame([(100.0, 0.4), (100.0, -0.4), (100.0, 0.0)], "target double, slope double")
     for share in (0, 25, 50, 100):
