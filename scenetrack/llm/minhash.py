@@ -26,10 +26,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, table, with_hot_keys
+from .common import cut_lineage, row_key, table, with_hot_keys
 from .components import components
 from .textops import Texts, U, column_texts, map_texts, mix, record_batch
 
@@ -71,11 +71,6 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, weight: np.ndarray, texts:
     return kept
 
 
-def row_key() -> Column:
-    """64 bits that tell rows apart by id and text; equal rows share theirs."""
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-
-
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, one, two (fingerprint of the words), runs (number of different runs), keys (one per band)."""
 

@@ -233,6 +233,29 @@ def test_repeats_reach_exactly_the_limit(spark):
     assert got == {2: 50, 3: 50, 4: 51, 5: 51, 6: 75, 7: 75}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_between_suffixes_that_are_no_neighbours(spark, seed):
+    """Texts of one core whose words before and after it are shared by other partners, further on each side."""
+    r, rows = random.Random(seed), []
+    for group in range(6):
+        core = prose(r.randint(26, 40), 6000 + 10 * seed + group).split()
+        sides = [prose(60, 6100 + 100 * seed + 10 * group + k).split() for k in range(6)]
+        for _ in range(14):
+            left, right = r.choice(sides[:3]), r.choice(sides[3:])
+            n, m = r.randint(0, 30), r.randint(0, 30)
+            own = prose(80, r.randrange(10**9)).split()
+            rows.append((len(rows), " ".join([*own[:40], *left[60 - n :], *core, *right[:m], *own[40:]]), "a"))
+    assert covered(suffixes.repeats(frame(spark, rows))) == repeated_words({i: t for i, t, _ in rows}, False)
+
+
+def test_repeats_of_rows_that_share_an_id(spark):
+    shared = prose(80, 6500)
+    rows = [(1, prose(9, 1), "a"), (1, f"{prose(70, 2)} {shared}", "a"), (2, f"{shared} {prose(90, 3)}", "a"), (None, f"{prose(30, 4)} {shared}", "a")]
+    for order in (rows, rows[::-1]):
+        for found in (suffixes.repeats(frame(spark, order)), passages.near_duplicate_passages(frame(spark, order))):
+            assert sorted((r.doc_id or 0, r.start, r.end) for r in found.collect()) == [(0, 30, 110), (1, 70, 150), (2, 0, 80)]
+
+
 def test_passages_cover_exact_repeats(spark, texts):
     got, wanted = covered(passages.op6_passages(spark, DIR)), repeated_words(texts, True)
     assert set(wanted) <= set(got)
