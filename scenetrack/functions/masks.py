@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,25 @@ def zero_where(mask: Column, *bands: str) -> list[Column]:
     return [F.when(mask, 0.0).otherwise(F.col(b)).alias(b) for b in bands]
 
 
+def usable(alpha: Column) -> Column:
+    return alpha > 0.5
+
+
+def without_clouds(cloud: Column, *bands: str, drop: str | None = None) -> list[Column]:
+    """Bands that are 0 where there is cloud; the band named drop is 0 everywhere."""
+    return [(F.lit(0.0) if b == drop else F.when(cloud, 0.0).otherwise(F.col(b))).alias(b) for b in bands]
+
+
+def brighten_mask(rebuilt: Column, green: Column) -> Column:
+    """How much brighter a rebuilt 8-bit image is than its green band, within 0..255."""
+    return F.least(F.lit(255), F.greatest(F.lit(0), rebuilt - green))
+
+
+def each_band(change: Callable[[Column], Column], *bands: str) -> list[Column]:
+    """The same change of several bands."""
+    return [change(F.col(b)).alias(b) for b in bands]
+
+
 def cloud_box(b7: str = "b7", b2: str = "b2", floor7: float = 110 / 255, ceiling7: float = 200 / 255, floor2: float = 190 / 255, low: float = 0.0, high: float = 0.75) -> Column:
     """Bright in band 7 and outside the ratio box of clear ice. Pixels outside the box stay cloud."""
     v7, v2 = F.col(b7), F.col(b2)
@@ -32,12 +52,20 @@ def ice_threshold(most7: float, least2: float, least1: float, b7: str = "b7", b2
     return (F.col(b7) < most7) & (F.col(b2) > least2) & (F.col(b1) > least1)
 
 
+#: Preset detectors, each (most in band 7, least in band 2, least in band 1) of 255, tried in this order.
+PRESETS = {"strict first": ((5, 230, 240), (10, 190, 190)), "wide": ((5, 230, 240), (10, 190, 190), (30, 190, 75))}
+
+
+def preset(name: str) -> list[Column]:
+    return [ice_threshold(a / 255, b / 255, c / 255) for a, b, c in PRESETS[name]]
+
+
 def first_detector(px: DataFrame, detectors: list[Column], more_than: int = 10) -> DataFrame:
     """Pixels of the first detector that finds more than more_than pixels in its scene; none if no detector does."""
     flagged = px.select("*", *[d.alias(f"_d{i}") for i, d in enumerate(detectors)])
     counts = flagged.groupBy("scene_id").agg(*[F.count_if(f"_d{i}").alias(f"_n{i}") for i in range(len(detectors))])
     choice = F.coalesce(*[F.when(F.col(f"_n{i}") > more_than, i) for i in range(len(detectors))])
-    picked = flagged.join(F.broadcast(counts.select("scene_id", choice.alias("detector"))), "scene_id")
+    picked = flagged.join(counts.select("scene_id", choice.alias("detector")), "scene_id")
     hit = reduce(lambda a, b: a | b, [(F.col("detector") == i) & F.col(f"_d{i}") for i in range(len(detectors))])
     return picked.where(hit).drop(*[f"_d{i}" for i in range(len(detectors))])
 

@@ -40,6 +40,126 @@ def peaks(hist: DataFrame, bins: int, threshold: float = 0.3, reach: int = 3, le
     return best.select("scene_id", (F.col("best") / F.lit(float(bins))).alias("edge"))
 
 
+def band_edges(px: DataFrame, bands: tuple[str, ...], bins: int, threshold: float, reach: int, least: float) -> DataFrame:
+    """(scene_id, one edge per band): left edge of each band's most prominent peak, infinite where there is none."""
+    out = px.select("scene_id").distinct()
+    for band in bands:
+        found = peaks(histogram(px, band, bins), bins, threshold, reach, least).withColumnRenamed("edge", f"edge_{band}")
+        out = out.join(found, "scene_id", "left")
+    return out.select("scene_id", *[F.coalesce(f"edge_{b}", F.lit(float("inf"))).alias(f"edge_{b}") for b in bands])
+
+
+def ice_by_peaks(px: DataFrame, most7: float, threshold: float, bins: int = 128, least: float = 0.01, reach: int = 3, either: bool = False) -> DataFrame:
+    """Pixels dark in band 7 and above the peaks of bands 2 and 1 (or of either); without a peak no pixel is above."""
+    edges = band_edges(px, ("b2", "b1"), bins, threshold, reach, least)
+    two, one = F.col("b2") > F.col("edge_b2"), F.col("b1") > F.col("edge_b1")
+    return px.join(edges, "scene_id").where((F.col("b7") < most7) & ((two | one) if either else (two & one))).drop("edge_b2", "edge_b1")
+
+
+def ice_by_midpoint(px: DataFrame, value: str, lowest: float = 0.3, bins: int = 128, least: float = 0.01, reach: int = 3) -> DataFrame:
+    """Pixels above the middle between lowest and the peak; above lowest where there is no peak. A tile's key may stand for the scene."""
+    edge = F.col(f"edge_{value}")
+    edges = band_edges(px, (value,), bins, lowest, reach, least)
+    return px.join(edges, "scene_id").where(F.col(value) > 0.5 * (lowest + F.when(edge == float("inf"), lowest).otherwise(edge))).drop(f"edge_{value}")
+
+
+def peak_share(px: DataFrame, value: str, bins: int, above: float, of_highest: float = 0.6) -> DataFrame:
+    """(scene_id, share): of the local maxima of the histogram of values beyond above, those over of_highest times the highest.
+
+    Bins are equal over the values' range; an end of the histogram is no maximum."""
+    some = px.where(F.col(value) > above)
+    ends = some.groupBy("scene_id").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    scaled = some.join(ends, "scene_id").withColumn("_x", (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    line = Window.partitionBy("scene_id").orderBy("bin")
+    counts = histogram(scaled, "_x", bins).withColumn("p", F.lag("n").over(line)).withColumn("q", F.lead("n").over(line))
+    tops = counts.where("n > p and n > q")
+    highest = tops.groupBy("scene_id").agg(F.max("n").alias("most"))
+    return tops.join(highest, "scene_id").groupBy("scene_id").agg(F.avg((F.col("n") > of_highest * F.col("most")).cast("int")).alias("share"))
+
+
+def moments(px: DataFrame, value: str) -> DataFrame:
+    """(scene_id, mean, std, skewness, kurtosis) of a band; kurtosis is the excess over 3, both without sample correction."""
+    return px.groupBy("scene_id").agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.skewness(value).alias("skewness"), F.kurtosis(value).alias("kurtosis"))
+
+
+def equalize_where(px: DataFrame, value: str, bins: int, least_entropy: float = 4.0, least_white: float = 0.4, white: float = 0.1) -> DataFrame:
+    """Tiles (tr, tc) of much entropy and many white pixels are equalised, the others stay: px with adjusted."""
+    keys = ("scene_id", "tr", "tc")
+    lively = entropy(px, value, bins, keys).join(px.groupBy(*keys).agg(F.avg((F.col(value) > white).cast("int")).alias("_white")), [*keys])
+    lively = lively.where((F.col("entropy") > least_entropy) & (F.col("_white") > least_white)).select(*keys)
+    line = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    cdf = histogram(px.join(lively, [*keys], "left_semi"), value, bins, keys)
+    cdf = cdf.withColumn("_eq", F.sum("n").over(line) / F.sum("n").over(Window.partitionBy(*keys))).drop("n")
+    binned = px.withColumn("bin", F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int"))
+    return binned.join(cdf, [*keys, "bin"], "left").withColumn("adjusted", F.coalesce("_eq", value)).drop("bin", "_eq")
+
+
+def clahe(px: DataFrame, value: str, frame: DataFrame, rblocks: int = 8, cblocks: int = 8, bins: int = 128, clip: float = 0.1) -> DataFrame:
+    """Contrast-limited equalisation: px with clahe, values in 0..1.
+
+    Each block's histogram is cut off at clip times its even count (1 at least); what is cut off goes to all bins alike,
+    the rest of that to the lowest ones. Its cumulative shares map the values. A pixel blends the maps of the four
+    blocks whose centres surround it, by its place between them; blocks beyond the frame repeat the outermost ones. Blocks
+    have even sides; those at the far edges may be cut short by the frame.
+    """
+    keys = ("scene_id", "br", "bc")
+    side = lambda length, blocks: 2 * F.ceil(F.col(length) / (2 * blocks))
+    sized = px.join(frame.select("scene_id", "height", "width"), "scene_id").withColumn("_h", side("height", rblocks)).withColumn("_w", side("width", cblocks))
+    binned = sized.withColumn("bin", F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int"))
+    binned = binned.withColumn("br", F.floor(F.col("row") / F.col("_h")).cast("int")).withColumn("bc", F.floor(F.col("col") / F.col("_w")).cast("int"))
+    counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.max(F.greatest(F.floor(clip * F.col("_h") * F.col("_w") / bins), F.lit(1))).alias("limit"))
+    capped = counts.withColumn("kept", F.least("n", "limit"))
+    spare = capped.groupBy(*keys).agg(F.sum(F.col("n") - F.col("kept")).alias("spare"), F.sum("n").alias("all"))
+    filled = spare.select(*keys, "all", "spare", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).join(capped.select(*keys, "bin", "kept"), [*keys, "bin"], "left")
+    mass = F.coalesce("kept", F.lit(0)) + F.floor(F.col("spare") / bins) + (F.col("bin") < F.col("spare") % bins).cast("int")
+    line = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    maps = filled.select(*keys, "bin", (F.sum(mass).over(line) / F.col("all")).alias("share"))
+    last = maps.groupBy("scene_id").agg(F.max("br").alias("last_r"), F.max("bc").alias("last_c"))
+    place = binned.join(last, "scene_id")
+    near = lambda at, length: F.floor((F.col(at) + F.col(length) / 2) / F.col(length)) - 1
+    place = place.withColumn("_r", near("row", "_h")).withColumn("_c", near("col", "_w"))
+    along = lambda at, block, length: (F.col(at) - (F.col(block) * F.col(length) + F.col(length) / 2)) / (F.col(length) - 1)
+    place = place.withColumn("_y", along("row", "_r", "_h")).withColumn("_x", along("col", "_c", "_w"))
+    corners = []
+    for a in (0, 1):
+        for b in (0, 1):
+            weight = (F.col("_y") if a else 1 - F.col("_y")) * (F.col("_x") if b else 1 - F.col("_x"))
+            r = F.least(F.greatest(F.col("_r") + a, F.lit(0)), F.col("last_r")).cast("int")
+            c = F.least(F.greatest(F.col("_c") + b, F.lit(0)), F.col("last_c")).cast("int")
+            corners.append(F.struct(r.alias("br"), c.alias("bc"), weight.alias("w")))
+    four = place.select("scene_id", "row", "col", "bin", F.explode(F.array(*corners)).alias("k")).select("scene_id", "row", "col", "bin", "k.*")
+    blended = four.join(maps, [*keys, "bin"]).groupBy("scene_id", "row", "col").agg(F.sum(F.col("w") * F.col("share")).alias("clahe"))
+    return px.join(blended, ["scene_id", "row", "col"])
+
+
+def flatten_threshold(kurt2: Column, kurt1: Column, skew2: Column, share: Column, cloud_share: Column, spread: Column) -> Column:
+    """Grey level (of 1) under which an ice image is flattened: 50, 130 or 80 of 255.
+
+    kurt and skew are of bands 2 and 1 beyond the floe level, share is peak_share, cloud_share that of cloudy pixels,
+    spread the deviation of the grey image."""
+    # Limits of the decision.
+    low, high, skewed, few, none, cloudy, wide, wider = 2, 8, 4, 0.1, 0.01, 0.02, 84 / 255, 98.9 / 255
+    fifty = (kurt2 > high) | ((kurt2 < low) & (kurt1 > high)) | ((kurt2 < low) & (skew2 < skewed) & (share < few)) | (share < none)
+    above = ((cloud_share < cloudy) & (spread > wide)) | (spread > wider)
+    return F.when(fifty, 50 / 255).when(above, 130 / 255).otherwise(80 / 255)
+
+
+def ice_from_water(px: DataFrame, grey: str, cloud: Column, land: Column, floe: float = 100 / 255, speckle: tuple[float, float] = (17 / 255, 30 / 255), least_pixels: int = 10) -> DataFrame:
+    """px with ice: the grey image flattened below its scene's threshold, less three times band 7 where that is speckle.
+
+    Scenes with fewer than least_pixels bright pixels in band 2 keep their grey image."""
+    bright = px.where(F.col("b2") > floe)
+    band2, band1 = moments(bright, "b2"), moments(px.where(F.col("b1") > floe), "b1").select("scene_id", F.col("kurtosis").alias("kurt1"))
+    shares = peak_share(px, "b2", round(255 * (1 - floe)), floe)
+    whole = px.groupBy("scene_id").agg(F.stddev_samp(grey).alias("spread"), F.avg(F.when(~land, (~cloud & (F.col("b7") > 0)).cast("int"))).alias("cloud_share"), F.count_if(F.col("b2") > floe).alias("bright"))
+    facts = whole.join(band2, "scene_id", "left").join(band1, "scene_id", "left").join(shares, "scene_id", "left")
+    level = flatten_threshold(F.col("kurtosis"), F.col("kurt1"), F.col("skewness"), F.col("share"), F.col("cloud_share"), F.col("spread"))
+    facts = facts.select("scene_id", F.when(F.col("bright") >= least_pixels, level).alias("level"))
+    speck = F.when(~cloud & F.col("b7").between(*speckle), F.col("b7")).otherwise(0.0)
+    flat = F.when(F.col(grey) <= F.col("level"), 0.0).otherwise(F.col(grey))
+    return px.join(facts, "scene_id").withColumn("ice", F.when(F.isnull("level"), F.col(grey)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), flat - 3 * speck)))).drop("level")
+
+
 def entropy(px: DataFrame, value: str, bins: int, keys: tuple[str, ...]) -> DataFrame:
     """Shannon entropy in bits of the binned values of each key."""
     counts = px.groupBy(*keys, F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
@@ -51,7 +171,7 @@ def stretch(px: DataFrame, value: str, low: float = 0.01, high: float = 0.99) ->
     """Linear stretch between two percentiles of each scene to 0..255."""
     ends = px.groupBy("scene_id").agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("p"))
     scaled = (F.col(value) - F.col("p")[0]) / (F.col("p")[1] - F.col("p")[0]) * 255
-    return px.join(F.broadcast(ends), "scene_id").withColumn("stretched", F.round(F.least(F.lit(255.0), F.greatest(F.lit(0.0), scaled))).cast("int")).drop("p")
+    return px.join(ends, "scene_id").withColumn("stretched", F.round(F.least(F.lit(255.0), F.greatest(F.lit(0.0), scaled))).cast("int")).drop("p")
 
 
 def equalize(px: DataFrame, value: str, bins: int) -> DataFrame:
@@ -61,7 +181,7 @@ def equalize(px: DataFrame, value: str, bins: int) -> DataFrame:
     every = Window.partitionBy("scene_id")
     cdf = hist.withColumn("equalized", F.sum("n").over(line) / F.sum("n").over(every)).drop("n")
     binned = px.withColumn("bin", F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int"))
-    return binned.join(F.broadcast(cdf), ["scene_id", "bin"]).drop("bin")
+    return binned.join(cdf, ["scene_id", "bin"]).drop("bin")
 
 
 def kmeans(px: DataFrame, value: str, k: int = 4, rounds: int = 5, keys: tuple[str, ...] = ("scene_id",)) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenetrack.operators.runs import explode_runs
+from scenetrack.session import cut, numbered
 
 CELL = ("scene_id", "label", "row", "col")
 
@@ -98,11 +99,158 @@ def convex_areas(labelled: DataFrame) -> DataFrame:
 
 def relabel(labelled: DataFrame) -> DataFrame:
     """Consecutive numbers from 1 by label, per scene, on the distinct labels."""
-    names = labelled.select("scene_id", "label").distinct()
-    names = names.withColumn("number", F.row_number().over(Window.partitionBy("scene_id").orderBy("label")))
+    names = numbered(labelled.select("scene_id", "label").distinct(), ["scene_id", "label"], "number")
+    first = names.groupBy("scene_id").agg(F.min("number").alias("lowest"))
+    names = names.join(first, "scene_id").select("scene_id", "label", (F.col("number") - F.col("lowest") + 1).alias("number"))
     return labelled.join(names, ["scene_id", "label"]).drop("label").withColumnRenamed("number", "label")
 
 
+def only_labels(labelled: DataFrame, labels: DataFrame) -> DataFrame:
+    """Objects of the listed labels (scene_id, label)."""
+    return labelled.join(labels.select("scene_id", "label").distinct(), ["scene_id", "label"], "left_semi")
+
+
+def binary_segments(labels: DataFrame) -> DataFrame:
+    """Dense label raster with mask: whether a pixel has a label."""
+    return labels.withColumn("mask", F.coalesce(F.col("label") > 0, F.lit(False)))
+
+
+def without_low_contrast(pixels: DataFrame, px: DataFrame, band: str, most_area: int, least_contrast: float) -> DataFrame:
+    """Object pixels less objects under most_area whose band varies by less than least_contrast."""
+    facts = mean_by_label(pixels, px, band)
+    flat = facts.where((F.col("n") < most_area) & (F.col("contrast") < least_contrast))
+    return pixels.join(flat.select("scene_id", "label"), ["scene_id", "label"], "left_anti")
+
+
+def mean_map(pixels: DataFrame, px: DataFrame, band: str) -> DataFrame:
+    """Object pixels with the mean of a band over their object."""
+    means = mean_by_label(pixels, px, band).select("scene_id", "label", (F.col("total") / F.col("n")).alias("mean"))
+    return pixels.join(means, ["scene_id", "label"])
+
+
+def cropped_masks(labelled: DataFrame, minimum_area: int = 1) -> DataFrame:
+    """Cells of objects with more than minimum_area pixels, counted from the corner of the object's box."""
+    box = moments(labelled).where(F.col("n") > minimum_area).select("scene_id", "label", "min_row", "min_col")
+    cells = explode_runs(labelled).join(box, ["scene_id", "label"])
+    return cells.select("scene_id", "label", (F.col("row") - F.col("min_row")).alias("r"), (F.col("col") - F.col("min_col")).alias("c"))
+
+
+def summary(labels: DataFrame, frame: DataFrame) -> DataFrame:
+    """(scene_id, labelled_fraction, label_count) of object pixels; scenes without objects have zeros."""
+    counts = labels.groupBy("scene_id").agg(F.count("*").alias("n"), F.count_distinct("label").alias("label_count"))
+    joined = frame.join(counts, "scene_id", "left")
+    share = F.coalesce("n", F.lit(0)) / (F.col("height") * F.col("width"))
+    return joined.select("scene_id", share.alias("labelled_fraction"), F.coalesce("label_count", F.lit(0)).alias("label_count"))
+
+
+def validation(validated: DataFrame, measured: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row per case (scene_id and its other columns): recall, precision and F of its masks, and whether it was measured."""
+    scores = compare_masks(validated, measured)
+    done = measured.select("scene_id").distinct().withColumn("success", F.lit(True))
+    return cases.join(scores, "scene_id", "left").join(done, "scene_id", "left").withColumn("success", F.coalesce("success", F.lit(False)))
+
+
+def mean_scores(rows: DataFrame, *keys: str) -> DataFrame:
+    """Means of the scores of validation rows; missing ones don't count."""
+    return rows.groupBy(*keys).agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(f"mean_{c}") for c in ("recall", "precision", "f_score")], F.count_if("success").alias("measured"), F.count("*").alias("cases"))
+
+
+def outer_contrast(pixels: DataFrame, px: DataFrame, band: str, distance: int) -> DataFrame:
+    """(scene_id, label, mean, outer, contrast): a band's mean within each object, around it up to distance, and their difference."""
+    inner = mean_by_label(pixels, px, band).select("scene_id", "label", (F.col("total") / F.col("n")).alias("mean"))
+    around = expand_labels(pixels, distance).where("d2 > 0").drop("d2")
+    outer = mean_by_label(around, px, band).select("scene_id", "label", (F.col("total") / F.col("n")).alias("outer"))
+    return inner.join(outer, ["scene_id", "label"], "left").withColumn("contrast", F.col("mean") - F.col("outer"))
+
+
+def compare_objects(a: DataFrame, b: DataFrame, px: DataFrame, band: str, distance: int = 15) -> DataFrame:
+    """Relevant pairs of two labellings (runs with labels): centroid distance in pixels, area error over the sum, and of
+    both objects area, circularity and contrast with their surroundings."""
+    sides = {}
+    for name, runs in (("s1", a), ("s2", b)):
+        pixels = explode_runs(runs.select("scene_id", "label", "row", "c0", "c1"))
+        table = moments(runs).select("scene_id", "label", F.col("n").alias("area"), (F.col("r") / F.col("n")).alias("row_centroid"), (F.col("c") / F.col("n")).alias("col_centroid"))
+        table = table.join(perimeters(runs), ["scene_id", "label"]).join(outer_contrast(pixels, px, band, distance), ["scene_id", "label"])
+        table = table.withColumn("circularity", F.try_divide(4 * F.pi() * F.col("area"), F.col("perimeter") * F.col("perimeter")))
+        sides[name] = pixels, table.select("scene_id", *[F.col(c).alias(f"{name}_{c}") for c in ("label", "area", "row_centroid", "col_centroid", "perimeter", "circularity", "mean", "outer", "contrast")])
+    pairs = relevant_pairs(sides["s1"][0], sides["s2"][0]).select("scene_id", F.col("a").alias("s1_label"), F.col("b").alias("s2_label"))
+    both = pairs.join(sides["s1"][1], ["scene_id", "s1_label"]).join(sides["s2"][1], ["scene_id", "s2_label"])
+    apart = F.hypot(F.col("s1_row_centroid") - F.col("s2_row_centroid"), F.col("s1_col_centroid") - F.col("s2_col_centroid"))
+    error = F.abs(F.col("s1_area") - F.col("s2_area")) / (F.col("s1_area") + F.col("s2_area"))
+    return both.withColumn("distance", apart).withColumn("area_error", error)
+
+
+def merged_labels(a: DataFrame, b: DataFrame, px: DataFrame, band: str, most_apart: float = 10, most_error: float = 0.25, least_area: int = 100, distance: int = 15) -> DataFrame:
+    """(scene_id, source, label): objects of two labellings that a merged one keeps, source 1 or 2.
+
+    1. Pairs that agree in place and size are matched, each object with the one of least error; the rounder one stays.
+    2. Of the other pairs, each object is set against its partner of least contrast, and the one with more contrast stays.
+    3. Objects without a partner stay. Objects that a kept one of an earlier step touches go, as do those under least_area.
+    """
+    pairs = cut(compare_objects(a, b, px, band, distance))
+    key = F.struct(F.round("area_error", 9), "s1_label", "s2_label")
+    close = pairs.where((F.col("distance") < most_apart) & (F.col("area_error") < most_error))
+    close = close.groupBy("scene_id", "s1_label").agg(F.min_by(F.struct(*close.columns), key).alias("p")).select("p.*")
+    close = close.groupBy("scene_id", "s2_label").agg(F.min_by(F.struct(*pairs.columns), key).alias("p")).select("p.*")
+    pick = lambda rows, better: rows.select("scene_id", F.when(better, 1).otherwise(2).alias("source"), F.when(better, F.col("s1_label")).otherwise(F.col("s2_label")).alias("label"))
+    names = {k: moments(runs).select("scene_id", F.lit(k).alias("source"), "label", F.col("n").alias("area")) for k, runs in ((1, a), (2, b))}
+    every = names[1].unionByName(names[2])
+    large = every.where(F.col("area") >= least_area).select("scene_id", "source", "label")
+    one = cut(pick(close, F.round("s1_circularity", 9) > F.round("s2_circularity", 9)).distinct())
+    touched = cut(touching_objects(a, b))
+
+    def left_by(kept: DataFrame) -> DataFrame:
+        """Objects that neither are kept nor touch a kept one."""
+        lost = touched.join(kept, ["scene_id", "source", "label"]).select("scene_id", (3 - F.col("source")).alias("source"), F.col("other").alias("label"))
+        return large.join(kept.union(lost).distinct(), ["scene_id", "source", "label"], "left_anti")
+
+    still = cut(left_by(one))
+    open_pairs = pairs.join(still.where("source = 1").select("scene_id", F.col("label").alias("s1_label"), F.lit(True).alias("open1")), ["scene_id", "s1_label"], "left")
+    open_pairs = open_pairs.join(still.where("source = 2").select("scene_id", F.col("label").alias("s2_label"), F.lit(True).alias("open2")), ["scene_id", "s2_label"], "left").where("open1 or open2")
+    better = F.round("s1_contrast", 9) > F.round("s2_contrast", 9)
+    by_one = open_pairs.groupBy("scene_id", "s1_label").agg(F.min_by(F.struct(*open_pairs.columns), F.struct(F.round("s2_contrast", 9), "s2_label")).alias("p")).select("p.*")
+    by_two = open_pairs.groupBy("scene_id", "s2_label").agg(F.min_by(F.struct(*open_pairs.columns), F.struct(F.round("s1_contrast", 9), "s1_label")).alias("p")).select("p.*")
+    two = pick(by_one, better).union(pick(by_two, better)).distinct().join(still, ["scene_id", "source", "label"], "left_semi")
+    paired = pairs.select("scene_id", F.lit(1).alias("source"), F.col("s1_label").alias("label")).union(pairs.select("scene_id", F.lit(2), "s2_label"))
+    three = every.select("scene_id", "source", "label").join(paired.distinct(), ["scene_id", "source", "label"], "left_anti")
+    return one.union(two).union(three).distinct().join(large, ["scene_id", "source", "label"], "left_semi")
+
+
+def touching_objects(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(scene_id, source, label, other) of objects of two labellings that share pixels, from either side."""
+    x, y = a.alias("x"), b.alias("y")
+    met = x.join(y, ["scene_id", "row"]).where("x.c0 <= y.c1 and y.c0 <= x.c1").select("scene_id", F.col("x.label").alias("p"), F.col("y.label").alias("q")).distinct()
+    return met.select("scene_id", F.lit(1).alias("source"), F.col("p").alias("label"), F.col("q").alias("other")).union(met.select("scene_id", F.lit(2), "q", "p"))
+
+
+def fit_objects(labelled: DataFrame, px: DataFrame, coast: DataFrame, cloud: DataFrame, band: str = "b2", least: int = 300, most: int = 50_000, least_cloudy: int = 1_000, bright: float = 0.4, bright_cloudy: float = 0.7, cloudy: float = 0.5, round_: float = 0.3, round_cloudy: float = 0.5) -> DataFrame:
+    """Objects that may be floes: off the coast buffer (runs), of fitting size, bright and round enough; where more than
+    cloudy of an object lies under cloud (pixels), the stricter limits hold."""
+    at_coast = labelled.alias("x").join(coast.select("scene_id", "row", F.col("c0").alias("d0"), F.col("c1").alias("d1")), ["scene_id", "row"]).where("c0 <= d1 and d0 <= c1").select("scene_id", "label").distinct()
+    free = labelled.join(at_coast, ["scene_id", "label"], "left_anti")
+    pixels = explode_runs(free.select("scene_id", "label", "row", "c0", "c1"))
+    means = mean_by_label(pixels, px, band).select("scene_id", "label", (F.col("total") / F.col("n")).alias("mean"))
+    hidden = pixels.join(cloud.select("scene_id", "row", "col"), ["scene_id", "row", "col"], "left_semi").groupBy("scene_id", "label").agg(F.count("*").alias("hidden"))
+    facts = moments(free).select("scene_id", "label", F.col("n").alias("area")).join(perimeters(free), ["scene_id", "label"]).join(means, ["scene_id", "label"]).join(hidden, ["scene_id", "label"], "left")
+    circle = F.try_divide(4 * F.pi() * F.col("area"), F.col("perimeter") * F.col("perimeter"))
+    share = F.coalesce("hidden", F.lit(0)) / F.col("area")
+    strict = (F.col("area") >= least_cloudy) & (F.col("mean") >= bright_cloudy) & (circle >= round_cloudy)
+    usual = (F.col("mean") >= bright) & (circle >= round_)
+    fit = facts.where(F.col("area").between(least, most) & F.when(share > cloudy, strict).otherwise(usual))
+    return free.join(fit.select("scene_id", "label"), ["scene_id", "label"], "left_semi")
+
+
+def named(objects: DataFrame, times: DataFrame) -> DataFrame:
+    """objects with the pass time of their scene and a uuid."""
+    return objects.join(times, "scene_id").withColumn("uuid", F.concat_ws(":", "scene_id", "label"))
+
+
+def renamed(objects: DataFrame, names: dict[str, str], whole: tuple[str, ...] = ()) -> DataFrame:
+    """objects with new column names; the columns in whole (by their old names) are rounded to whole numbers."""
+    rounded = objects.withColumns({c: F.round(c).cast("bigint") for c in whole})
+    return rounded.withColumnsRenamed(names)
+
+
 def expand_labels(pixels: DataFrame, distance: int) -> DataFrame:
     """Background pixels within distance take the nearest label; ties go to the least source pixel."""
     moves = [(a, b, a * a + b * b) for a in range(-distance, distance + 1) for b in range(-distance, distance + 1) if a * a + b * b <= distance * distance]

@@ -60,6 +60,15 @@ def components(runs: DataFrame, connectivity: int = 4) -> DataFrame:
     return named.join(labels, (named.scene_id == labels.scene) & (named.id == labels.vertex), "left").select(*runs.columns, F.coalesce("component", "id").alias("label"))
 
 
+def components_of(runs: DataFrame) -> DataFrame:
+    """4-connected parts of labelled runs: only runs of one label join; runs with the least run id as their label."""
+    named = runs.withColumn("id", run_id())
+    below = named.select("scene_id", "label", (F.col("row") - 1).alias("row"), F.col("id").alias("id2"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
+    edges = named.join(below, ["scene_id", "label", "row"]).where("c0 <= d1 and d0 <= c1").select("scene_id", F.col("id").alias("u"), F.col("id2").alias("v"))
+    labels = star_labels(edges)
+    return named.join(labels, (named.scene_id == labels.scene) & (named.id == labels.vertex), "left").select(named.scene_id, "row", "c0", "c1", F.coalesce("component", "id").alias("label"))
+
+
 def star_labels(edges: DataFrame) -> DataFrame:
     """(scene, vertex, component) of edges (scene_id, u, v): large-star and small-star steps until stars remain."""
     links = cut(edges.select("scene_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
@@ -108,7 +117,7 @@ def reconstruct(mask_runs: DataFrame, marker: DataFrame, connectivity: int = 4)
 
 def on_border(labelled: DataFrame, frame: DataFrame) -> DataFrame:
     at_edge = (F.col("row") == 0) | (F.col("row") == F.col("height") - 1) | (F.col("c0") == 0) | (F.col("c1") == F.col("width") - 1)
-    return labelled.join(F.broadcast(frame), "scene_id").where(at_edge).select("scene_id", "label").distinct()
+    return labelled.join(frame, "scene_id").where(at_edge).select("scene_id", "label").distinct()
 
 
 def clear_border(runs: DataFrame, frame: DataFrame, connectivity: int = 4) -> DataFrame:
@@ -156,7 +165,7 @@ def octagon(radius: int) -> list[tuple[int, int, int]]:
 def dilate(runs: DataFrame, element: list[tuple[int, int, int]], frame: DataFrame) -> DataFrame:
     """Each run is moved and widened by every row of the element, clipped to the frame; then runs are merged."""
     rows = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for dr, lo, hi in element])
-    moved = runs.select("scene_id", "row", "c0", "c1", F.explode(rows).alias("e")).join(F.broadcast(frame), "scene_id")
+    moved = runs.select("scene_id", "row", "c0", "c1", F.explode(rows).alias("e")).join(frame, "scene_id")
     c0, c1 = F.greatest(F.col("c0") + F.col("e.lo"), F.lit(0)), F.least(F.col("c1") + F.col("e.hi"), F.col("width") - 1)
     out = moved.select("scene_id", (F.col("row") + F.col("e.dr")).alias("row"), c0.cast("int").alias("c0"), c1.cast("int").alias("c1"), "height")
     return merge_runs(out.where("row >= 0 and row < height and c0 <= c1").drop("height"))

@@ -75,8 +75,8 @@ def diffuse(px: DataFrame, value: str, rate: float = 0.1, k: float = 0.1, steps:
 
 def diffuse8(px: DataFrame, value: str, share: float = 0.1, rate: float = 0.125) -> DataFrame:
     """One step of 8-neighbour diffusion; the edge scale is a share of the scene's range, diagonals count half."""
-    span = Window.partitionBy("scene_id")
-    px = px.withColumn("_k", share * (F.max(value).over(span) - F.min(value).over(span)))
+    span = px.groupBy("scene_id").agg((share * (F.max(value) - F.min(value))).alias("_k"))
+    px = px.join(span, "scene_id")
     px = px.withColumn("_l", shift(value, ROW, -1)).withColumn("_r", shift(value, ROW, 1))
     terms = [(F.col("_l"), 1.0), (F.col("_r"), 1.0), (shift(value, COL, -1), 1.0), (shift(value, COL, 1), 1.0)]
     terms += [(shift(side, COL, by), 0.5) for side in ("_l", "_r") for by in (-1, 1)]
@@ -149,14 +149,68 @@ def reconstruct_gray(px: DataFrame, marker: str, mask: str, steps: int = 6) -> D
     """
     from scenetrack.session import cut
 
-    now = cut(px.withColumn("_v", F.least(marker, mask)))
-    total = None
+    now = cut(px.withColumn("_v", F.least(marker, mask)).withColumn("_old", F.col("_v")))
     while True:
         step = now
         for _ in range(steps):
             step = step.withColumn("_v", F.least(F.col(mask), F.greatest(F.col("_v"), shift("_v", ROW, -1), shift("_v", ROW, 1), shift("_v", COL, -1), shift("_v", COL, 1))))
-        now = cut(step)
-        reached = now.agg(F.sum("_v")).first()[0]
-        if reached == total:
-            return now.withColumnRenamed("_v", "reconstructed")
-        total = reached
+        now = cut(step.withColumn("_moved", F.col("_v") > F.col("_old")).withColumn("_old", F.col("_v")))
+        if not now.where("_moved").limit(1).count():
+            return now.drop("_moved", "_old").withColumnRenamed("_v", "reconstructed")
+
+
+def opened_by_reconstruction(px: DataFrame, value: str, radius: int) -> DataFrame:
+    """px with reconstructed: bright details smaller than a square of the radius are gone, all other edges stay."""
+    worn = box_extreme(px, value, radius, "_marker", F.min)
+    return reconstruct_gray(worn, "_marker", value).drop("_marker")
+
+
+def closed_by_reconstruction(px: DataFrame, value: str, radius: int, top: float) -> DataFrame:
+    """px with reconstructed: dark details smaller than a square of the radius are filled; done on the inverse of top."""
+    inverse = px.withColumn("_inverse", top - F.col(value))
+    return opened_by_reconstruction(inverse, "_inverse", radius).withColumn("reconstructed", top - F.col("reconstructed")).drop("_inverse")
+
+
+def dense_mask(pixels: DataFrame, frame: DataFrame) -> DataFrame:
+    """All pixels of the frame with bit: 1 where the mask has a pixel."""
+    rows = frame.select("scene_id", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"))
+    every = rows.select("scene_id", "row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
+    some = pixels.select("scene_id", "row", "col", F.lit(1).alias("bit"))
+    return every.join(some, ["scene_id", "row", "col"], "left").withColumn("bit", F.coalesce("bit", F.lit(0)))
+
+
+def box_extreme(px: DataFrame, value: str, radius: int, out: str, of=F.max) -> DataFrame:
+    """Grey dilation (of F.max) or erosion (of F.min) by a square of the radius, clipped at the scene's edge."""
+    row = Window.partitionBy("scene_id", "row").orderBy("col").rangeBetween(-radius, radius)
+    col = Window.partitionBy("scene_id", "col").orderBy("row").rangeBetween(-radius, radius)
+    return px.withColumn("_x", of(value).over(row)).withColumn(out, of("_x").over(col)).drop("_x")
+
+
+def impose_minima(px: DataFrame, value: str, at: Column, step: float = 1.0) -> DataFrame:
+    """px with imposed: an image whose only regional minima are the pixels of the mask at.
+
+    Elsewhere the image is raised by step and to what must be crossed to reach the mask (a reconstruction of the inverse)."""
+    ends = px.groupBy("scene_id").agg((F.max(value) + 2 * step).alias("_top"), (F.min(value) - step).alias("_low"))
+    ready = px.join(ends, "scene_id").withColumn("_marker", F.when(at, F.col("_top") - F.col("_low")).otherwise(F.lit(0.0)))
+    ready = ready.withColumn("_mask", F.col("_top") - F.when(at, F.col("_low")).otherwise(F.col(value) + step))
+    return reconstruct_gray(ready, "_marker", "_mask").withColumn("imposed", F.col("_top") - F.col("reconstructed")).drop("_top", "_low", "_marker", "_mask", "reconstructed")
+
+
+def filled_minima(px: DataFrame, value: str, height: float, top: float) -> DataFrame:
+    """px with filled: minima shallower than height are gone (the h-minima transform); top bounds the values."""
+    ready = px.withColumn("_mask", top - F.col(value)).withColumn("_marker", top - F.col(value) - height)
+    return reconstruct_gray(ready, "_marker", "_mask").withColumn("filled", top - F.col("reconstructed")).drop("_mask", "_marker", "reconstructed")
+
+
+def squared_distance(px: DataFrame, bit: str, out: str, radius: int) -> DataFrame:
+    """Exact squared distance of set pixels to the nearest unset one of a dense raster, as far as radius; NULL beyond.
+
+    Along rows the nearest unset column is a running maximum and minimum; along columns the least sum of squares is looked
+    up among the radius rows on either side."""
+    row = Window.partitionBy("scene_id", "row").orderBy("col")
+    here = F.when(F.col(bit) == 0, F.col("col"))
+    before, after = F.max(here).over(row.rowsBetween(Window.unboundedPreceding, 0)), F.min(here).over(row.rowsBetween(0, Window.unboundedFollowing))
+    px = px.withColumn("_d", F.least(F.col("col") - before, after - F.col("col")))
+    line = along(COL)
+    best = F.least(*[F.pow(F.lag("_d", k).over(line) if k > 0 else F.lead("_d", -k).over(line) if k < 0 else F.col("_d"), 2) + k * k for k in range(-radius, radius + 1)])
+    return px.withColumn(out, F.when(best <= radius * radius, best.cast("bigint"))).drop("_d")

@@ -523,12 +523,12 @@ def rotation_lookback(spark, d):
     return p.select(F.col("id1").alias("id"), "time1", "time2", (F.unix_micros("time2") - F.unix_micros("time1")).alias("dt_us"), (F.col("value2") - F.col("value1")).alias("change"))
 
 
-CURVES = 'cu as (select "row"//2 as pair, "row"%2 as side, col as i, (q-128)/128.0::double as v from e where "row"<20)'
+CURVES = 'cu as (select "row"//2 as pair, "row"%2 as side, col as i, (q-128)/128.0::double as v from e)'
 
 
 @query(Q.query(Q.PX, CURVES, "nn as (select pair, sqrt(sum(v*v) filter (side=0))*sqrt(sum(v*v) filter (side=1)) as nrm from cu group by pair)", "ss as (select a.pair, a.i-b.i as lag, sum(a.v*b.v) as s from cu a join cu b on a.pair=b.pair and a.side=0 and b.side=1 group by 1,2)", "select pair::bigint as pair, lag::bigint as lag, round(s/nrm,6)+0.0 as r from ss join nn using (pair)"))
 def crosscorr(spark, d):
-    c = V.px_embed(spark, d).where("row < 20").select(F.floor(F.col("row") / 2).alias("pair"), (F.col("row") % 2).alias("side"), F.col("col").alias("i"), ((F.col("q") - 128) / F.lit(128.0)).alias("value"))
+    c = V.px_embed(spark, d).select(F.floor(F.col("row") / 2).alias("pair"), (F.col("row") % 2).alias("side"), F.col("col").alias("i"), ((F.col("q") - 128) / F.lit(128.0)).alias("value"))
     return T.cross_correlation(c).select(*big("pair", "lag"), *rounded("r"))
 
 
@@ -542,7 +542,7 @@ def register_angle(spark, d):
 
 # -- catalog ---------------------------------------------------------------------------------------------------------
 
-CASES = "ca as (select o_orderkey as case_number, r_name as region, cast(o_orderdate as date) as s from orders join customer on o_custkey=c_custkey join nation on c_nationkey=n_nationkey join region on n_regionkey=r_regionkey where o_orderkey<50)"
+CASES = "ca as (select o_orderkey as case_number, r_name as region, cast(o_orderdate as date) as s from orders join customer on o_custkey=c_custkey join nation on c_nationkey=n_nationkey join region on n_regionkey=r_regionkey)"
 
 
 @query(Q.query(CASES, "dy as (select *, s + cast(i as int) as day from ca, (select unnest(range(0,3)) as i))", "select case_number, region, cast(day as date) as day, sat as satellite, lpad(cast(case_number as varchar),5,'0')||'-'||lower(replace(region,' ','_'))||'-'||strftime(day,'%Y%m%d')||'-'||sat as name from dy, (select unnest(['aqua','terra']) as sat)"))
@@ -643,7 +643,7 @@ def stitch_clusters(spark, d):
 
 @query(Q.query(Q.PX, CURVES, "nn as (select pair, sqrt(sum(v*v) filter (side=0))*sqrt(sum(v*v) filter (side=1)) as nrm from cu group by pair)", "ss as (select a.pair, a.i-b.i as lag, sum(a.v*b.v) as s from cu a join cu b on a.pair=b.pair and a.side=0 and b.side=1 group by 1,2)", "select pair::bigint as pair, round(max(s/nrm),3)+0.0 as correlation, round(1-round(max(s/nrm),3),3)+0.0 as score from ss join nn using (pair) group by pair"))
 def best_correlation(spark, d):
-    c = V.px_embed(spark, d).where("row < 20").select(F.floor(F.col("row") / 2).alias("pair"), (F.col("row") % 2).alias("side"), F.col("col").alias("i"), ((F.col("q") - 128) / F.lit(128.0)).alias("value"))
+    c = V.px_embed(spark, d).select(F.floor(F.col("row") / 2).alias("pair"), (F.col("row") % 2).alias("side"), F.col("col").alias("i"), ((F.col("q") - 128) / F.lit(128.0)).alias("value"))
     return T.best_correlation(c).select(*big("pair"), *rounded("correlation", "score", digits=3))
 
 
@@ -676,6 +676,9 @@ def geo_mercator(spark, d):
 
 
 def registered() -> tuple[dict, dict[str, str]]:
+    """All queries and their SQL; the other modules of queries add theirs when they are imported."""
+    from scenetrack.plans import linking, segmentation  # noqa: F401
+
     return QUERIES, ORACLE_SQL
 
 

@@ -26,8 +26,9 @@ def px_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def px_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3 x 3 sums of px_embed with replicated edges, as two window passes."""
     from scenetrack.operators.stencil import box3_sum
+    from scenetrack.operators.tiles import in_halo_tiles
 
-    return box3_sum(px_embed(spark, sf_dir), "q", "s")
+    return in_halo_tiles(px_embed(spark, sf_dir), 1, lambda px: box3_sum(px, "q", "s"))
 
 
 def mask(spark: SparkSession, sf_dir: str, threshold: int = 1200) -> DataFrame:
@@ -58,13 +59,33 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("time"), "value", "event_type")
 
 
-def cases(spark: SparkSession, sf_dir: str, most: int = 50) -> DataFrame:
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case catalog: one row per case with region and period."""
     o, c, n, r = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
-    j = o.where(F.col("o_orderkey") < most).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     start = F.to_date("o_orderdate")
     return j.select(F.col("o_orderkey").alias("case_number"), F.col("r_name").alias("region"), start.alias("start"), F.date_add(start, 2).alias("end"))
 
 
+def subset(cases: DataFrame, rule: Column | None = None, order: list[Column] | None = None, first: int = 0, count: int | None = None) -> DataFrame:
+    """Cases that a rule keeps, in an order, from the first (0-based) on, count of them."""
+    out = cases if rule is None else cases.where(rule)
+    out = out if order is None else out.orderBy(*order)
+    out = out.offset(first) if first else out
+    return out if count is None else out.limit(count)
+
+
+def expand_cases(cases: DataFrame, satellites: tuple[str, ...] = ("aqua", "terra")) -> DataFrame:
+    """One row per case, day of its period and satellite."""
+    days = cases.withColumn("day", F.explode(F.sequence("start", "end"))).drop("start", "end")
+    return days.withColumn("satellite", F.explode(F.array(*[F.lit(s) for s in satellites])))
+
+
+def with_overpass(scenes: DataFrame, passes: DataFrame) -> DataFrame:
+    """scenes (day, satellite, ...) with the first pass (satellite, time) of their day; NULL without one."""
+    first = passes.groupBy(F.to_date("time").alias("day"), "satellite").agg(F.min("time").alias("pass_time"))
+    return scenes.join(first, ["day", "satellite"], "left")
+
+
 def by_row(*extra: str) -> Window:
     return Window.partitionBy("scene_id", "row", *extra).orderBy("col")

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenetrack.session import shared_folder
+
 LATE = "1 day"
 
 
@@ -33,8 +35,13 @@ def sessions(stream: DataFrame, gap: str, late: str = LATE) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a bounded aggregate stream until its input is used up and return what it holds."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a bounded aggregate stream until its input is used up and return its last result, which lies in the shared folder."""
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows")
+
+    write = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state")
+    write.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
