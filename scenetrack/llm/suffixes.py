@@ -144,7 +144,9 @@ def neighbours(suffixes: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     The sort spreads a frequent head over several partitions. The first row of each partition is met by the last of the
     one before in a second, small pass over partitions' ends.
     """
-    ranged = suffixes.repartitionByRange("head", F.col(order)[0], F.col(order)[1], "doc_id", "pos").sortWithinPartitions("head", order, "doc_id", "pos")
+    # of those with equal words on one side, the ones with most equal words on the other side stand together
+    by = ["head", order, "left" if order == "right" else "right", "doc_id", "pos"]
+    ranged = suffixes.repartitionByRange(*by).sortWithinPartitions(*by)
     part = ranged.withColumn("part", F.spark_partition_id())
 
     def compared(batch: dict) -> list[tuple]:
