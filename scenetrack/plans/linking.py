@@ -106,7 +106,7 @@ def watershed(spark, d):
 @query()
 def split_by_depth(spark, d):
     """Objects divided by depth levels; tested on shapes with known parts."""
-    return B.split_by_depth(V.mask(spark, d), frame(spark, d), most=2, element=R.diamond(1)).select(*big(*RUN, "label"))
+    return B.split_by_depth(V.mask(spark, d), frame(spark, d), most=2, most_hole=20, element=R.diamond(1)).select(*big(*RUN, "label"))
 
 
 # -- hulls and contours ----------------------------------------------------------------------------------------------
