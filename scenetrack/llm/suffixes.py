@@ -217,22 +217,30 @@ def neighbours(suffixes: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
 def further(suffixes: DataFrame, opened: DataFrame, often: DataFrame) -> DataFrame:
     """Spans of the passages in which suffixes of one head meet though they are no neighbours.
 
-    Each place at which a suffix of a head may meet an unknown one makes a key of the words there, for all suffixes of the
-    head; keys that several suffixes hold are repeats. Suffixes: at most NEED + 1 rows each, none of them a pair.
+    A suffix has open places where some suffix may meet it, as both orders tell, but no neighbour does. Each open place is a
+    key of the words there. All suffixes of such heads, of those with equal words around only one, give their keys for
+    the places that are open in their head (NEED + 1 at most, no pairs); keys of several suffixes are repeats. All others
+    that hold such a key were met by a neighbour.
     """
-    left = opened.groupBy("doc_id", "pos", "head").agg(F.expr("bit_or(met)").alias("met"), *[F.expr(f"bit_or(case when side = '{k}' then may else 0 end)").alias(k) for k in ("right", "left")])
-    rest = left.select("head", F.col("right").bitwiseAND(F.col("left")).bitwiseAND(F.bitwise_not("met")).alias("at")).where("at <> 0")
+    joint = opened.groupBy("doc_id", "pos", "head").agg(F.expr("bit_or(met)").alias("met"), *[F.expr(f"bit_or(case when side = '{k}' then may else 0 end)").alias(k) for k in ("right", "left")])
+    rest = cut_lineage(joint.select("doc_id", "pos", "head", F.col("right").bitwiseAND(F.col("left")).bitwiseAND(F.bitwise_not("met")).alias("at")).where("at <> 0"))
     at = cut_lineage(rest.groupBy("head").agg(F.expr("bit_or(at)").alias("at")).join(often, "head"))
     total = int(at.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     if not total:
         return suffixes.sparkSession.createDataFrame([], SPANS)
+
+    def keys(rows: DataFrame, *others: str) -> DataFrame:
+        bits = F.filter(F.sequence(F.lit(0), F.lit(NEED)), lambda a: F.getbit("at", a) == 1)
+        each = rows.select("head", "left", "right", *others, F.explode(bits).alias("a"))
+        words = F.xxhash64(F.slice("left", F.lit(1), F.col("a")), F.slice("right", F.lit(1), NEED - F.col("a")))
+        return each.select("head", "a", words.alias("words"), *others)
+
     some = with_hot_keys(suffixes, at, ["head"], "n", total)
-    each = some.select("head", "doc_id", "pos", "left", "right", F.explode(F.filter(F.sequence(F.lit(0), F.lit(NEED)), lambda a: F.getbit("at", a) == 1)).alias("a"))
-    words = F.xxhash64(F.slice("left", F.lit(1), F.col("a")), F.slice("right", F.lit(1), NEED - F.col("a")))
-    keyed = cut_lineage(each.select("head", "doc_id", "pos", "a", words.alias("words")))
     place = F.struct("doc_id", "pos")
-    shared = keyed.groupBy("head", "a", "words").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    found = with_hot_keys(keyed, cut_lineage(shared), ["head", "a", "words"], "n", total * (NEED + 1), "left_semi")
+    different = some.groupBy("head", F.xxhash64("left").alias("l"), F.xxhash64("right").alias("r")).agg(F.first("left").alias("left"), F.first("right").alias("right"), F.first("at").alias("at"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+    shared = keys(different, "lo", "hi").groupBy("head", "a", "words").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("head", "a", "words")
+    mine = keys(suffixes.join(rest, ["doc_id", "pos", "head"]), "doc_id", "pos")
+    found = mine.join(shared, ["head", "a", "words"], "left_semi")
     return found.select("doc_id", (F.col("pos") - F.col("a")).alias("start"), (F.col("pos") - F.col("a") + PASSAGE).alias("end"))
 
 
