@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 import tempfile
 import uuid
 import zlib
@@ -40,7 +42,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_at = path
+    if next(_tables) % TIDY_EVERY == 0:
+        tidy(spark)
+    return out
+
+
+_tables, TIDY_EVERY = itertools.count(1), 12
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffles and broadcasts of finished tables now, not at the driver's next full collection
+    (half an hour apart by default): operators of many rounds leave many."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of cut_lineage that nothing lazy refers to any more, so that they don't fill the shared folder."""
+    for df in tables:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.table_at)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def row_key() -> Column:
