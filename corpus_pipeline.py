@@ -2,7 +2,11 @@
 
 toxicity: documents that the classifier rejects go. near_duplicates: one document of each class stays.
 decontamination: documents with a benchmark leak go. mixing: documents come as often as the mix to the target weights
-takes them. sharding: every document gets its shard and slot.
+takes them, in training order. sharding: every document gets its shard and slot.
+
+Defined cases: null and blank texts are clean, near duplicates of each other, and leave the mix (they have no words to take);
+null ids and rows of one id with different texts are documents like any others; of equal rows one stays; an empty table
+gives no rows; extra columns are kept until sharding, which returns its own.
 """
 
 from __future__ import annotations
