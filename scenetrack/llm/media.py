@@ -202,19 +202,33 @@ def end_of_gzip(blob: bytes, start: int) -> int | None:
     return min(at, len(blob)) - len(reader.unused_data) if reader.eof else None
 
 
-def end_of_zip(blob: bytes, start: int) -> int | None:
-    at = start
+def zip_ends(blob: bytes) -> dict[int, int]:
+    """End of each archive by its start: an end record tells where its archive begins."""
+    out: dict = {}
+    at = 0
     while (at := blob.find(b"PK\x05\x06", at)) >= 0:
         size, offset, note = _u(blob, at + 12, "<I"), _u(blob, at + 16, "<I"), _u(blob, at + 20, "<H")
-        if note is not None and start + offset + size == at and blob[start + offset : start + offset + 4] == b"PK\x01\x02" and at + 22 + note <= len(blob):
-            return at + 22 + note
+        if note is not None and at + 22 + note <= len(blob):
+            start = at - offset - size
+            if start >= 0 and blob[start + offset : start + offset + 4] == b"PK\x01\x02":
+                out.setdefault(start, at + 22 + note)
         at += 4
-    return None
+    return out
 
 
 def end_of_pdf(blob: bytes, start: int) -> int | None:
-    mark, end = blob.find(b"startxref", start), blob.rfind(b"%%EOF", start)
-    return end + 5 if 0 <= mark < end else None
+    """Up to the end mark of the file, or of the last update appended to it (with objects and a startxref of its own); never
+    beyond the next head, so that false heads cost no more than the bytes between them."""
+    limit = blob.find(b"%PDF-", start + 5)
+    limit = len(blob) if limit < 0 else limit
+    end, at = None, start
+    while (mark := blob.find(b"%%EOF", at, limit)) >= 0:
+        part = blob[at:mark]
+        _, found, place = part.rpartition(b"startxref")
+        if not found or not place.strip().isdigit() or (end is not None and b" obj" not in part):
+            break
+        end = at = mark + 5
+    return end
 
 
 VALIDATORS = {
@@ -224,7 +238,6 @@ VALIDATORS = {
     "image/bmp": end_of_bmp,
     "audio/wav": end_of_wav,
     "application/gzip": end_of_gzip,
-    "application/zip": end_of_zip,
     "application/pdf": end_of_pdf,
 }
 _automata: list = []
@@ -244,10 +257,17 @@ def automaton() -> ahocorasick.Automaton:
 def media_in(blob: bytes | None) -> list[tuple[str, int, int]]:
     """(type, start, end) of the valid files in blob, in order, none inside another."""
     out: list = []
-    free = 0
+    free, zips = 0, None
     for last, (kind, n) in automaton().iter((blob or b"").decode("latin-1")):
         start = last - n + 1
-        if start >= free and (end := VALIDATORS[kind](blob, start)) is not None:
+        if start < free:
+            continue
+        if kind == "application/zip":
+            zips = zip_ends(blob) if zips is None else zips
+            end = zips.get(start)
+        else:
+            end = VALIDATORS[kind](blob, start)
+        if end is not None:
             out.append((kind, start, end))
             free = end
     return out
