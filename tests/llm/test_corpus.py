@@ -324,6 +324,28 @@ def test_held_out_accuracy(spark, query, label, least):
     assert got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
 
 
+def test_convolution_equals_plain_loops():
+    net, r = toxicity.Filters(3), np.random.default_rng(4)
+    net.start_from(r.normal(0, 1, 1 << toxicity.ROWS_BITS).astype(np.float32))
+    net.bias = {w: r.normal(0, 0.3, toxicity.FILTERS).astype(np.float32) for w in toxicity.WIDTHS}
+    values = ["one two three four two", "", "alpha", "beta gamma", "Ünder die das alphabet one"]
+    words = toxicity.folded(texts_of(*values)).words()
+    rows = toxicity.rows_of(words)
+    _, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
+    which, starts = toxicity.padded(which, words.count, -1)
+    got = net.logits(toxicity.rows_of(words.at(first)), which, starts)
+    for t in range(len(values)):
+        vectors = [net.embed[rows[i]].sum(0) for i in range(words.first[t], words.first[t + 1])] + [np.zeros(toxicity.DIM)] * (toxicity.GAP + max(toxicity.WIDTHS))
+        total = float(net.shift)
+        for k, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = max(sum(float(vectors[i + o] @ net.kernel[w][o][:, f]) for o in range(w)) for i in range(words.count[t] + toxicity.GAP - w + 1))
+                total += max(best + float(net.bias[w][f]), 0.0) * float(net.out[k, f])
+        assert got[t] == pytest.approx(total, abs=1e-4)
+    again = toxicity.unpacked(toxicity.packed(net, np.arange(4.0)))
+    assert np.allclose(again[0].logits(toxicity.rows_of(words.at(first)), which, starts), got) and again[1].tolist() == [0, 1, 2, 3]
+
+
 def test_discriminant_equals_density_formula():
     r = np.random.default_rng(1)
     x = {0: r.normal(0, 1, (400, 3)), 1: r.normal(1, 2, (600, 3))}
@@ -366,6 +388,33 @@ def test_carving_and_false_magic():
     assert media.media_in(None) == [] and media.media_in(b"BMRIFFGIF89a%PDF-PK\x03\x04") == []
 
 
+def test_files_in_a_row_are_carved_apart():
+    pdf, png = b"%PDF-1.4\n1 0 obj\nstartxref\n0\n%%EOF", media.png(bytes(128))
+    update = b"\n2 0 obj\nendobj\nstartxref\n9\n%%EOF"
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a", "b" * 50)
+    parts = [("application/pdf", pdf), ("image/png", png), ("application/pdf", pdf + update), ("application/zip", packed.getvalue()), ("application/zip", packed.getvalue())]
+    at, wanted, blob = 0, [], b""
+    for kind, data in parts:
+        blob += data + b"--"
+        wanted.append((kind, at, at + len(data)))
+        at += len(data) + 2
+    assert media.media_in(blob) == wanted
+    assert media.media_in(pdf + b"\nplain text %%EOF") == [("application/pdf", 0, len(pdf))]
+
+
+def test_false_heads_are_linear():
+    import time
+
+    took = {}
+    for n in (50_000, 400_000):
+        began = time.process_time()
+        assert media.media_in(b"%PDF-PK\x03\x04" * (n // 9)) == []
+        took[n] = time.process_time() - began
+    assert took[400_000] < 30 * max(took[50_000], 0.01)
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------------------
 
 
