@@ -321,3 +321,27 @@ def test_stream_batches_with_gaps(spark, tmp_path):
         tracker.batch(rows.where(F.col("scene_id") == scene), number)
     assert {r.uuid: r.trajectory_uuid for r in tracker.tracks(1).collect()} == {"0:500": "0:500", "1:510": "0:500", "2:515": "0:500", "3:520": "3:520"}
     assert spark.read.parquet(f"{tmp_path}/heads/batch=6").count() == 1
+
+
+R1 = runs.diamond(1)
+
+# -- whole segmentations ---------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["object_based", "global_watershed", "tiled_watershed"])
+def test_pipelines_find_discs(spark, name):
+    from scenetrack.plans import pipelines
+
+    discs = ((14, 14, 8), (14, 44, 9))
+    inside = lambda i, j: any((i - a) ** 2 + (j - b) ** 2 <= r * r for a, b, r in discs)
+    rows = [(0, i, j, 0.02, 0.8 if inside(i, j) else 0.05, 0.8 if inside(i, j) else 0.05) for i in range(30) for j in range(60)]
+    px = spark.createDataFrame(rows, "scene_id int, row int, col int, b7 double, b2 double, b1 double").cache()
+    size = spark.createDataFrame([(0, 30, 60)], "scene_id int, height int, width int")
+    land = spark.createDataFrame([(0, 29, 0, 2)], "scene_id int, row int, c0 int, c1 int")
+    settings = pipelines.Settings(coast=R1, marker=R1, blocks=(1, 1), pixels=20, least=40, most=2_000, depth=2, hole=5, cloud_hole=5, window=40, round_=R1, fit={"least_cloudy": 40})
+    seen = {}
+    got = getattr(pipelines, name)(px, size, land, settings, lambda k, t: seen.update({k: t.count()}))
+    found = {r.label for r in got.select("label").distinct().collect()}
+    assert len(found) == 2 and "objects" in seen and len(seen) >= 5
+    near = cells(got)
+    assert all((a, b) in near for a, b, _ in discs)
