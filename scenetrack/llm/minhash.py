@@ -141,7 +141,7 @@ def links_of(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, threshold:
     centre = cut_lineage(buckets.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("members")).where("members > 1"))
     starred = cut_lineage(with_hot_keys(buckets, centre, ["key"], "members", total))
     stars = cut_lineage(starred.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct())
-    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
+    wanted = cut_lineage(stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct())  # its size is known to the optimiser
     few = cut_lineage(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     links = cut_lineage(verified(stars, few, threshold, total))
 
