@@ -115,6 +115,18 @@ def test_words_and_hashes():
     assert words.run_hash(np.array([first]), np.array([first + 2])) == words.run_hash(np.array([last + 1]), np.array([last + 3]))
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_joins_with_hot_keys_equal_plain_joins(spark, how):
+    from scenetrack.llm.common import with_hot_keys
+
+    keys = [0] * 400 + [1] * 30 + list(range(2, 300)) + [None] * 5
+    big = spark.createDataFrame(list(enumerate(keys)), "x int, k int")
+    small = big.where("k < 150").groupBy("k").agg(F.count("*").alias("n"))
+    for total in (len(keys), 10**9, 1):  # some keys are hot, none is, all are
+        got = with_hot_keys(big, small, ["k"], "n", total, how)
+        assert sorted(map(str, got.select(sorted(got.columns)).collect())) == sorted(map(str, big.join(small, ["k"], how).select(sorted(got.columns)).collect()))
+
+
 # -- 1 ---------------------------------------------------------------------------------------------------------------
 
 
