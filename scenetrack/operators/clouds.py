@@ -18,7 +18,8 @@ def opened_by_marker(runs: DataFrame, marker, frame: DataFrame) -> DataFrame:
 
 
 def calibrated_clouds(px: DataFrame, frame: DataFrame, rule: Column | None = None, marker=None, smooth=None, most_filled: int = 10_000) -> DataFrame:
-    """Runs of cloud: the box rule without speckle, smoothed, with clear holes of most_filled pixels at most filled."""
+    """Runs of cloud: the box rule without speckle, smoothed, with clear holes of most_filled pixels at most filled;
+    a clear scene with no more pixels than that is such a hole."""
     cloud = R.runs_of(px.where(cloud_box(**CALIBRATED) if rule is None else rule).select("scene_id", "row", "col"))
     kept = opened_by_marker(cloud, marker or R.box(3), frame)
     return R.fill_by_size(R.opening(kept, smooth or R.diamond(1), frame), frame, 0, most_filled)

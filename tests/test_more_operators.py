@@ -206,7 +206,8 @@ def test_land_masks_and_empty_scenes(spark):
     assert cells(wide) == {(i, j) for i in range(6) for j in range(10)}  # an ocean of a few pixels is a hole
     none = px.where("false").withColumn("b2", F.lit(0.0)).withColumn("b7", F.lit(0.0))
     assert clouds.object_clouds(none, frame(spark, BLOB)).count() == 0
-    assert clouds.calibrated_clouds(none, frame(spark, BLOB)).count() == 0
+    assert clouds.calibrated_clouds(none, frame(spark, BLOB), most_filled=59).count() == 0
+    assert clouds.calibrated_clouds(none, frame(spark, BLOB)).count() == 6  # a clear scene of 60 pixels is a hole that is filled
 
 
 def test_numbered_in_many_partitions(spark):
