@@ -7,6 +7,7 @@ from .media import op4_media
 from .minhash import op5_minhash
 from .mixing import TARGETS_SQL, mixing_targets, op9_mixing
 from .passages import op6_passages
+from .periodic import op11_periodic_runs
 from .pii import op10_pii
 from .quality import op3_quality
 from .sharding import op8_sharding
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
+    "op11_periodic_runs": op11_periodic_runs,
     "mixing_targets": mixing_targets,
 }
 
