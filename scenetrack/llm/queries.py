@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .decontaminate import op1_decontaminate
 from .media import op4_media
 from .minhash import op5_minhash
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_alignment": op12_alignment,
     "mixing_targets": mixing_targets,
 }
 
