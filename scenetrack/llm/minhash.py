@@ -24,6 +24,8 @@ are ignored; very long texts are bounded by one text's memory.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,6 +39,7 @@ SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
 PART_PAIRS = 1_000  # pairs of a hub that meet one copy of its text
+PART_MEMBERS = 200  # members of a bucket that are joined with as many others at once
 
 
 def weighted_runs(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
@@ -92,6 +95,9 @@ def run_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
+Sets = Callable[[Texts], tuple[np.ndarray, np.ndarray]]
+
+
 def with_both_texts(pairs: DataFrame, texts: DataFrame, hub: str, other: str, total: int) -> DataFrame:
     """pairs (hub, other) with text_a (the hub's) and text_b. A hub of many pairs meets them in parts of PART_PAIRS, each
     with a copy of its text, so that no task gets all of them; total bounds the pairs of all hubs."""
@@ -103,13 +109,13 @@ def with_both_texts(pairs: DataFrame, texts: DataFrame, hub: str, other: str, to
     return dealt.join(others, other).join(hubs, [hub, "part"]).select(hub, other, "text_a", "text_b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, total: int) -> DataFrame:
-    """pairs (a, b) whose whole texts have the similarity; a is the hub of several."""
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, total: int, sets: Sets = run_sets) -> DataFrame:
+    """pairs (a, b) whose whole texts have the similarity, as sets; a is the hub of several."""
     both = with_both_texts(pairs, texts, "a", "b", total)
 
     def check(rows, texts_a):
-        hashes_a, at_a = run_sets(texts_a)
-        hashes_b, at_b = run_sets(column_texts(rows["text_b"]))
+        hashes_a, at_a = sets(texts_a)
+        hashes_b, at_b = sets(column_texts(rows["text_b"]))
         keep = np.zeros(len(texts_a), bool)
         for i in range(len(texts_a)):
             x, y = hashes_a[at_a[i] : at_a[i + 1]], hashes_b[at_b[i] : at_b[i + 1]]
@@ -123,58 +129,64 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, total: int) -
     return map_texts(both, "a long, b long", check, text="text_a")
 
 
-def run_rows(texts: DataFrame) -> DataFrame:
+def run_rows(texts: DataFrame, sets: Sets = run_sets) -> DataFrame:
     """(doc_id, run) for every different run of texts."""
 
     def work(rows, got):
-        hashes, at = run_sets(got)
+        hashes, at = sets(got)
         return {"doc_id": pa.array(np.repeat(np.array(rows["doc_id"]), np.diff(at))), "run": hashes}
 
     return map_texts(texts.select("doc_id", "text"), "doc_id long, run long", work)
 
 
-def links_of(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, threshold: float, total: int) -> DataFrame:
-    """Verified links (a, b) that connect all documents of the buckets (key, doc_id) which similar texts connect.
+def links_of(buckets: DataFrame, texts: DataFrame, threshold: float, total: int, sets: Sets = run_sets) -> DataFrame:
+    """Verified links (a, b) that connect all documents of the buckets (key, doc_id, runs) which similar texts connect.
 
-    total is the number of documents in buckets. Frequent keys are met by broadcast (BANDS * MOST_HOT rows at most).
+    total is the number of documents in buckets, runs the size of a document's set. Frequent keys are met by broadcast
+    (BANDS * MOST_HOT rows at most). Sets whose sizes alone rule the similarity out are not compared.
     """
-    centre = cut_lineage(buckets.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("members")).where("members > 1"))
+    near_sizes = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b)
+    centre = cut_lineage(buckets.groupBy("key").agg(F.min("doc_id").alias("centre"), F.min_by("runs", "doc_id").alias("centre_runs"), F.count("*").alias("members")).where("members > 1"))
     starred = cut_lineage(with_hot_keys(buckets, centre, ["key"], "members", total))
-    stars = cut_lineage(starred.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct())
-    wanted = cut_lineage(stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct())  # its size is known to the optimiser
+    stars = starred.where((F.col("doc_id") != F.col("centre")) & near_sizes(F.col("runs"), F.col("centre_runs")))
+    stars = cut_lineage(stars.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct())
+    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).union(starred.where("members > 2").select("doc_id"))
+    wanted = cut_lineage(wanted.distinct())  # its size is known to the optimiser
     few = cut_lineage(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    links = cut_lineage(verified(stars, few, threshold, total))
+    links = cut_lineage(verified(stars, few, threshold, total, sets))
 
     def open_rows(links: DataFrame) -> DataFrame:
         """Rows of buckets of three and more with several components, with the component."""
         named = starred.where("members > 2").join(components(links).select(F.col("vertex").alias("doc_id"), "component"), "doc_id", "left")
-        named = cut_lineage(named.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "centre", "members"))
+        named = cut_lineage(named.select("key", "doc_id", "runs", F.coalesce("component", "doc_id").alias("component"), "centre", "members"))
         several = cut_lineage(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("members").alias("members")).where("lo <> hi"))
         return with_hot_keys(named, several, ["key"], "members", total, "left_semi")
 
     rest = cut_lineage(open_rows(links))
-    ids = rest.select("doc_id").distinct()
-    runs = run_rows(few.join(ids, "doc_id", "left_semi"))
+    ids = rest.select("doc_id", "runs").distinct()
+    runs = run_rows(few.join(ids, "doc_id", "left_semi"), sets)
     alone = runs.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    shared = ids.join(sizes, "doc_id").join(alone, "doc_id", "left").select("doc_id", "runs", (F.col("runs") - F.coalesce("alone", F.lit(0))).alias("shared"))
-    shared = cut_lineage(shared.where(F.col("shared") >= threshold * F.col("runs")))
+    shared = ids.join(alone, "doc_id", "left").select("doc_id", (F.col("runs") - F.coalesce("alone", F.lit(0))).alias("shared"), "runs")
+    shared = cut_lineage(shared.where(F.col("shared") >= threshold * F.col("runs")).drop("runs"))
     live = cut_lineage(rest.drop("members").join(shared, "doc_id"))
-    seconds = cut_lineage(live.groupBy("key").agg(F.max_by("doc_id", F.struct(F.col("shared") / F.col("runs"), -F.col("doc_id"))).alias("second"), F.count("*").alias("members")))
-    again = with_hot_keys(live, seconds, ["key"], "members", total).where("doc_id <> second and second <> centre").select(F.col("second").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = cut_lineage(links.union(verified(cut_lineage(again), few, threshold, total)))
+    best = F.struct(F.col("shared") / F.col("runs"), -F.col("doc_id"))
+    seconds = cut_lineage(live.groupBy("key").agg(F.max_by("doc_id", best).alias("second"), F.max_by("runs", best).alias("second_runs"), F.count("*").alias("members")))
+    again = with_hot_keys(live, seconds, ["key"], "members", total).where((F.col("doc_id") != F.col("second")) & (F.col("second") != F.col("centre")) & near_sizes(F.col("runs"), F.col("second_runs")))
+    again = cut_lineage(again.select(F.col("second").alias("a"), F.col("doc_id").alias("b")).distinct())
+    links = cut_lineage(links.union(verified(again, few, threshold, total, sets)))
     live = open_rows(links).drop("members").join(shared, "doc_id")
-    live = cut_lineage(with_hot_keys(live, seconds, ["key"], "members", total).select("key", "doc_id", "component", "centre", "runs", "shared", "second"))
-    near = live.join(differences(cut_lineage(live.select("second", "doc_id").distinct()), few, total), ["doc_id", "second"])
-    return cut_lineage(links.union(across(near, threshold)))
+    live = cut_lineage(with_hot_keys(live, seconds, ["key"], "members", total).select("key", "doc_id", "component", "centre", "runs", "shared", "second", "members"))
+    near = live.join(differences(cut_lineage(live.select("second", "doc_id").distinct()), few, total, sets), ["doc_id", "second"])
+    return cut_lineage(links.union(across(cut_lineage(near), threshold)))
 
 
-def differences(pairs: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+def differences(pairs: DataFrame, texts: DataFrame, total: int, sets: Sets = run_sets) -> DataFrame:
     """pairs (second, doc_id) with the runs that only the document has, those only the centre has, and the centre's number."""
     both = with_both_texts(pairs, texts, "second", "doc_id", total).select("doc_id", "second", F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b"))
 
     def work(rows, texts_a):
-        hashes_a, at_a = run_sets(texts_a)
-        hashes_b, at_b = run_sets(column_texts(rows["text_b"]))
+        hashes_a, at_a = sets(texts_a)
+        hashes_b, at_b = sets(column_texts(rows["text_b"]))
         added, missing = [], []
         for i in range(len(texts_a)):
             x, y = hashes_a[at_a[i] : at_a[i + 1]].view(np.int64), hashes_b[at_b[i] : at_b[i + 1]].view(np.int64)
@@ -188,11 +200,18 @@ def differences(pairs: DataFrame, texts: DataFrame, total: int) -> DataFrame:
 
 def across(near: DataFrame, threshold: float) -> DataFrame:
     """Links between components of a bucket. Both texts are known by their differences to the bucket's centre, which
-    give the size of their common part exactly; so the join yields links only, and no text is read for other pairs."""
-    x, y = near.alias("x"), near.alias("y")
+    give the size of their common part exactly; so the join yields links only, and no text is read for other pairs.
+
+    Large buckets are cut into parts of PART_MEMBERS; each two parts meet in a group of their own, so that no task gets all
+    pairs of a bucket."""
+    parts = F.ceil(F.col("members") / PART_MEMBERS)
+    dealt = near.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts)).withColumn("parts", parts)
+    x = dealt.withColumn("low", F.col("part")).withColumn("high", F.explode(F.sequence("part", F.col("parts") - 1))).alias("x")
+    y = dealt.withColumn("high", F.col("part")).withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), "part"))).alias("y")
     least = F.least("x.shared", "y.shared")
-    may = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.doc_id") != F.col("x.centre"))
-    may = may & (least >= threshold / (1 + threshold) * (F.col("x.runs") + F.col("y.runs")))
+    may = (F.col("x.key") == F.col("y.key")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+    may = may & ((F.col("x.low") < F.col("x.high")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & (F.col("x.component") != F.col("y.component"))
+    may = may & (least + 1e-9 >= threshold / (1 + threshold) * (F.col("x.runs") + F.col("y.runs"))) & (F.col("x.doc_id") != F.col("x.centre")) & (F.col("y.doc_id") != F.col("y.centre"))
     kept = F.col("x.base") - F.size("x.missing") - F.size("y.missing") + F.size(F.array_intersect("x.missing", "y.missing"))
     common = kept + F.size(F.array_intersect("x.added", "y.added"))
     similar = common >= threshold * (F.col("x.runs") + F.col("y.runs") - common)
@@ -207,9 +226,9 @@ def classes_of(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame,
     place = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row_key")
     first = cut_lineage(sketches.groupBy("one", "two").agg(F.min(place).alias("head"), F.count("*").alias("copies"), F.first("runs").alias("runs"), F.first("keys").alias("keys")))
     heads = first.where("runs > 0").select(F.col("head.row_key").alias("doc_id"), "runs", "keys")
-    buckets = heads.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
+    buckets = heads.select("doc_id", "runs", F.explode(F.array_distinct("keys")).alias("key"))
     texts = docs.select(row_key().alias("doc_id"), "text")
-    links = links_of(buckets, heads.select("doc_id", "runs"), texts, threshold, total)
+    links = links_of(buckets, texts, threshold, total)
     named = first.select("one", "two", "copies", "head", F.col("head.row_key").alias("vertex")).join(components(links), "vertex", "left")
     named = cut_lineage(named.withColumn("component", F.coalesce("component", "vertex")))
     tops = named.groupBy("component").agg(F.min("head").alias("head"), F.count("*").alias("texts"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .alignment import op12_alignment
 from .decontaminate import op1_decontaminate
+from .jaccard import op13_jaccard_join
 from .media import op4_media
 from .minhash import op5_minhash
 from .mixing import TARGETS_SQL, mixing_targets, op9_mixing
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_alignment": op12_alignment,
+    "op13_jaccard_join": op13_jaccard_join,
     "mixing_targets": mixing_targets,
 }
 
