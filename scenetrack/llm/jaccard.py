@@ -2,7 +2,9 @@
 
 A text's set has its different runs of SIZE words (A to Z in lower case; a shorter text is one run). Sets of s and t runs
 have the Jaccard similarity p percent if at least o(s, t) = ceil(p (s + t) / (100 + p)) runs are common. Equal sets are one
-vertex from the start. The others are divided by their number of runs:
+vertex from the start. A set of which more than 100 - p percent of the runs occur in no other set links with none and is left
+out: first by the runs in a fixed share of the hash space (SHARE), which bound the number from below and are counted
+in all sets, then by all runs of the sets that are left. The sets that stay are divided by their number of runs:
 
 Light sets, up to the boundary: a set gives all its subsets of c runs, for each c that some light partner may need. Sets that
 share a subset of c have c runs in common at least, and o grows with the sizes, so of the sets of one subset those that link
@@ -10,7 +12,7 @@ with any other there link with the smallest: one star for each subset, no compar
 
 Heavy sets, and lighter ones that a heavy set can reach: each set stands in the inverted lists of its first n - ceil(p n / 100)
 + 1 runs in one order of all runs; two similar sets share one of these. The order puts runs that are frequent in the corpus last
-(by counters over all texts, of which there are COUNTERS), so that lists are short; any order is right. Lists are scanned by
+(by counters over all these texts, of which there are COUNTERS), so that lists are short; any order is right. Lists are scanned by
 the centres, stars and joins across components of `links_of`, which compares whole texts and loses no link.
 
 The boundary is the one of the least cost, from the number of sets of each size: rows of subsets against rows of lists
@@ -40,6 +42,7 @@ from .minhash import links_of
 from .textops import BATCH_BYTES, CHUNK_BYTES, WIDE, Texts, U, map_texts, mix, record_batch, slices
 
 SIZE, PERCENT = 5, 80
+SHARE = 0.4
 COUNTERS = 1 << 17
 MOST_LIGHT, LIST_COST = 20, 6.0
 
@@ -93,30 +96,60 @@ def chosen_boundary(sizes: dict[int, int], percent: int = PERCENT, most: int = M
     return min(range(most + 1), key=lambda b: (cost(b), b))
 
 
-PROFILE = "doc_id long, row_key long, n int, one long, two long, slot int, times long"
+def fingerprints(hashes: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each set, whatever the order of its runs."""
+    sums = np.concatenate([[U(0)], np.cumsum(mix(hashes ^ U(seed)), dtype=U)])
+    return sums[at[1:]] - sums[at[:-1]]
+
+
+ONE, TWO = 0x51AFD7ED558CCD25, 0x2545F4914F6CDD1D
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """Per row doc_id, row_key, n and two fingerprints of its set; and rows (slot, times): the runs of all sets of a task
-    that fall on each counter."""
+    """Per row doc_id, row_key, n and two fingerprints of its set."""
+
+    def work(rows: pa.RecordBatch, texts: Texts) -> dict:
+        hashes, at = run_sets(texts)
+        return {"doc_id": rows["doc_id"], "row_key": rows["row_key"], "n": np.diff(at).astype(np.int32), "one": fingerprints(hashes, at, ONE), "two": fingerprints(hashes, at, TWO)}
+
+    return map_texts(docs.select("doc_id", row_key().alias("row_key"), "text"), "doc_id long, row_key long, n int, one long, two long", work)
+
+
+def lonely_runs(docs: DataFrame, share: float) -> DataFrame:
+    """one (fingerprint of a set), alone: how many of its runs in the given share of the hash space no other set of docs has."""
+
+    def work(rows: pa.RecordBatch, texts: Texts) -> dict:
+        hashes, at = run_sets(texts)
+        owner = np.repeat(fingerprints(hashes, at, ONE), np.diff(at))
+        chosen = mix(hashes) < U(min(int(share * 2.0**64), 2**64 - 1))
+        return {"run": hashes[chosen], "one": owner[chosen]}
+
+    runs = map_texts(docs.select("text"), "run long, one long", work)
+    single = runs.groupBy("run").agg(F.min("one").alias("one"), F.max("one").alias("last")).where(F.col("one") == F.col("last"))
+    return single.groupBy("one").agg(F.count("*").alias("alone"))
+
+
+def linkable(sets: DataFrame, docs: DataFrame, share: float, percent: int) -> DataFrame:
+    """sets (one, n, ...) that may link with another set of docs."""
+    found = sets.join(lonely_runs(docs, share), "one", "left")
+    return cut_lineage(found.where((F.col("n") - F.coalesce("alone", F.lit(0))) * 100 >= percent * F.col("n")).drop("alone"))
+
+
+def counters(docs: DataFrame) -> DataFrame:
+    """(slot, times): the runs of all sets of a task that fall on each counter."""
     conf = docs.sparkSession.conf
     if conf.get(BATCH_BYTES) == WIDE:
         conf.set(BATCH_BYTES, str(CHUNK_BYTES * 8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, np.int64)
+        times = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for rows, texts in slices(batch, "text"):
-                hashes, at = run_sets(texts)
-                counters += np.bincount(counter_of(hashes), minlength=COUNTERS)
-                one, two = (np.concatenate([[U(0)], np.cumsum(mix(hashes ^ U(seed)), dtype=U)]) for seed in (0x51AFD7ED558CCD25, 0x2545F4914F6CDD1D))
-                empty = pa.nulls(len(texts))
-                yield record_batch({"doc_id": rows["doc_id"], "row_key": rows["row_key"], "n": np.diff(at).astype(np.int32), "one": one[at[1:]] - one[at[:-1]], "two": two[at[1:]] - two[at[:-1]], "slot": empty.cast(pa.int32()), "times": empty.cast(pa.int64())})
-        hit = np.flatnonzero(counters)
-        empty = pa.nulls(len(hit), pa.int64())
-        yield record_batch({"doc_id": empty, "row_key": empty, "n": empty.cast(pa.int32()), "one": empty, "two": empty, "slot": hit.astype(np.int32), "times": counters[hit]})
+            for _, texts in slices(batch, "text"):
+                times += np.bincount(counter_of(run_sets(texts)[0]), minlength=COUNTERS)
+        hit = np.flatnonzero(times)
+        yield record_batch({"slot": hit.astype(np.int32), "times": times[hit]})
 
-    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(run, PROFILE)
+    return docs.select("text").mapInArrow(run, "slot int, times long")
 
 
 def frequency_levels(slots: DataFrame) -> np.ndarray:
@@ -135,7 +168,7 @@ def subset_keys(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def keys(docs: DataFrame, boundary: int, levels: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """row_key, n, subsets (array of (c, key) of light sets), lists (array of the runs whose lists the set is in)."""
+    """vertex, n, subsets (array of (c, key) of light sets), lists (array of the runs whose lists the set is in)."""
     reach = least_partner(boundary + 1, percent)
 
     def work(rows: pa.RecordBatch, texts: Texts) -> dict:
@@ -160,13 +193,13 @@ def keys(docs: DataFrame, boundary: int, levels: np.ndarray, percent: int = PERC
         ends = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
         subsets = pa.StructArray.from_arrays([pa.array(sizes[order], pa.int32()), pa.array(found[order].view(np.int64))], ["c", "key"])
         return {
-            "row_key": rows["row_key"],
+            "vertex": rows["vertex"],
             "n": n.astype(np.int32),
             "subsets": pa.ListArray.from_arrays(ends(np.bincount(docs_, minlength=len(n))), subsets),
             "lists": pa.ListArray.from_arrays(ends(first), pa.array(listed.view(np.int64))),
         }
 
-    return map_texts(docs.select(row_key().alias("row_key"), "text"), "row_key long, n int, subsets array<struct<c:int,key:bigint>>, lists array<long>", work)
+    return map_texts(docs.select("vertex", "text"), "vertex long, n int, subsets array<struct<c:int,key:bigint>>, lists array<long>", work)
 
 
 def light_links(subsets: DataFrame, total: int, percent: int = PERCENT) -> DataFrame:
@@ -179,21 +212,21 @@ def light_links(subsets: DataFrame, total: int, percent: int = PERCENT) -> DataF
 
 def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the least id of the texts that links of the similarity connect with this one."""
-    profile = cut_lineage(profiles(docs))
-    rows = profile.where("slot is null").drop("slot", "times")
+    rows = cut_lineage(profiles(docs))
+    total = rows.count()
     same = ["n", "one", "two"]
     sets = cut_lineage(rows.where("n > 0").groupBy(same).agg(F.min("row_key").alias("vertex"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies")))
-    total = rows.count()
-    counted = {r.n: r.k for r in sets.where(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.count("*").alias("k")).collect()}
-    boundary = chosen_boundary(counted, percent)
-    each = cut_lineage(keys(docs, boundary, frequency_levels(profile.where("slot is not null")), percent))
-    heads = sets.select(F.col("vertex").alias("row_key"), "copies")
-    first = with_hot_keys(each, heads, ["row_key"], "copies", total, "left_semi").groupBy("row_key").agg(*[F.first(c).alias(c) for c in ("n", "subsets", "lists")])
-    own = cut_lineage(first.withColumnRenamed("row_key", "vertex"))
-    release(each)
+    first = linkable(sets.select("one", "n", "vertex", "copies"), docs, SHARE, percent)
+    texts = with_hot_keys(docs.select(row_key().alias("vertex"), "text"), first.select("vertex", "copies"), ["vertex"], "copies", total, "left_semi")
+    texts = cut_lineage(texts.dropDuplicates(["vertex"]))
+    chosen = linkable(first, texts, 1.0, percent)
+    live = cut_lineage(texts.join(chosen.select("vertex"), "vertex", "left_semi"))
+    release(texts)
+    sizes = {r.n: r.k for r in chosen.where(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.count("*").alias("k")).collect()}
+    own = cut_lineage(keys(live, chosen_boundary(sizes, percent), frequency_levels(counters(live)), percent))
     light = cut_lineage(light_links(own.select("vertex", "n", F.inline("subsets")), total, percent))
     lists = own.select(F.col("vertex").alias("doc_id"), F.col("n").alias("runs"), F.explode("lists").alias("key"))
-    heavy = links_of(lists, docs.select(row_key().alias("doc_id"), "text"), percent / 100, total, run_sets)
+    heavy = links_of(lists, live.withColumnRenamed("vertex", "doc_id"), percent / 100, total, run_sets)
     found = cut_lineage(components(light.union(heavy)))
     named = sets.join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     named = cut_lineage(named.select(*same, "copies", "least_id", "component"))
