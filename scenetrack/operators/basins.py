@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenetrack.operators import forest
 from scenetrack.operators import objects as O
 from scenetrack.operators import runs as R
 from scenetrack.operators import stencil as S
@@ -47,44 +48,24 @@ def split_by_depth(pixels: DataFrame, frame: DataFrame, most: int = 5, most_hole
     return R.components_of(island)
 
 
-def basins(px: DataFrame, value: str, markers: DataFrame, mask: DataFrame, rounds: int = 64) -> DataFrame:
-    """(scene_id, row, col, label): pixels of the mask flooded from the markers (pixels with labels).
+def basins(px: DataFrame, value: str, markers: DataFrame, mask: DataFrame, tile: int = forest.TILE) -> DataFrame:
+    """(scene_id, row, col, label): pixels of the mask flooded from the markers (pixels with labels, not negative).
 
-    A pixel goes to the marker that it can reach over the lowest highest value, of equal ones by the fewest steps, then to
-    the least label; each round lets all fronts take several steps, until nothing changes.
+    All floods rise together, and of all steps from a flooded to a dry neighbour the one of the lowest higher pixel comes
+    first, then the one of the lowest lower pixel, then one by a fixed scattered order; labels stay where they are. Pixels that no marker
+    reaches are absent. This is the spanning forest rooted in the markers (forest.flooded), however far floods reach.
     """
-    big = F.lit(None).cast("struct<level:double,steps:int,label:bigint>")
-    start = px.join(mask.select(*CELL), CELL, "left_semi").join(markers.select(*CELL, F.col("label").cast("bigint").alias("_m")), CELL, "left")
-    mark = F.struct(F.col(value).cast("double").alias("level"), F.lit(0).alias("steps"), F.col("_m").alias("label"))
-    now = cut(start.withColumn("_b", F.when(F.col("_m").isNotNull(), mark).otherwise(big)).select(*CELL, F.col(value).cast("double").alias("_v"), "_b"))
-    for _ in range(rounds):
-        step = now.withColumn("_old", F.col("_b"))
-        for _ in range(4):
-            offers = [neighbour(line, by) for line in (S.ROW, S.COL) for by in (-1, 1)]
-            offered = [F.when(o.isNotNull(), F.struct(F.greatest(o["level"], F.col("_v")).alias("level"), (o["steps"] + 1).cast("int").alias("steps"), o["label"].alias("label"))) for o in offers]
-            step = step.withColumn("_b", F.array_min(F.array_compact(F.array(F.col("_b"), *offered))))
-        now = cut(step.withColumn("_moved", ~F.col("_b").eqNullSafe(F.col("_old"))).drop("_old"))
-        if not now.where("_moved").limit(1).count():
-            break
-        now = now.drop("_moved")
-    return now.where("_b is not null").select(*CELL, F.col("_b.label").alias("label"))
-
-
-def neighbour(line: tuple[str, str], by: int):
-    """What the next pixel of the mask along a line has, if it is adjacent."""
-    window = S.along(line)
-    move = F.lead if by > 0 else F.lag
-    return F.when(F.abs(move(line[1], 1).over(window) - F.col(line[1])) == 1, move("_b", 1).over(window))
-
-
-def watershed(pixels: DataFrame, frame: DataFrame, height: float = 1.0, most: int = 32) -> DataFrame:
+    return forest.flooded(px.join(mask.select(*CELL), CELL, "left_semi"), value, markers, tile)
+
+
+def watershed(pixels: DataFrame, frame: DataFrame, height: float = 1.0) -> DataFrame:
     """Objects of a mask split at its narrows: (scene_id, row, col, label).
 
-    Distance to the background (up to most), shallow maxima levelled out by height, the remaining ones as markers, and
-    their basins.
+    Distance to the background, shallow maxima levelled out by height, the remaining ones as markers, and their basins. In a
+    scene without background all pixels are equally deep, one object.
     """
     dense = S.dense_mask(pixels, frame)
-    deep = cut(S.squared_distance(dense, "bit", "d2", most).withColumn("v", F.when(F.col("bit") == 0, 0.0).otherwise(-F.sqrt(F.coalesce("d2", F.lit(most * most))))))
+    deep = cut(S.squared_distance(dense, "bit", "d2").withColumn("v", F.when(F.col("bit") == 0, 0.0).otherwise(-F.sqrt(F.coalesce("d2", F.lit(1 << 40))))))
     flat = cut(S.filled_minima(deep, "v", height, 0.0).withColumn("filled", F.round("filled", 9)))
     lows = R.regional_minima(flat.select(*CELL, "filled"), "filled")
     markers = R.explode_runs(lows.where("filled < 0").select("scene_id", "row", "c0", "c1", "label"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenetrack.operators.distance import nearest
 from scenetrack.operators.runs import explode_runs
 from scenetrack.session import cut, numbered
 
@@ -252,10 +253,8 @@ def renamed(objects: DataFrame, names: dict[str, str], whole: tuple[str, ...] =
 
 
 def expand_labels(pixels: DataFrame, distance: int) -> DataFrame:
-    """Background pixels within distance take the nearest label; ties go to the least source pixel."""
-    moves = [(a, b, a * a + b * b) for a in range(-distance, distance + 1) for b in range(-distance, distance + 1) if a * a + b * b <= distance * distance]
-    moved = neighbours(pixels, moves).withColumnRenamed("w", "d2")
-    return moved.groupBy("scene_id", "row", "col").agg(F.min(F.struct("d2", "label")).alias("best")).select("scene_id", "row", "col", F.col("best.label").alias("label"), F.col("best.d2").alias("d2"))
+    """Background pixels within distance take the nearest label, of equally near ones the least; labelled pixels keep theirs."""
+    return nearest(pixels.select("scene_id", "row", "col", F.col("label").cast("bigint").alias("label")), None, distance)
 
 
 def mean_by_label(pixels: DataFrame, px: DataFrame, band: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenetrack.operators import distance
 from scenetrack.schema import RUN_ID_FACTOR
 from scenetrack.session import cut
 
@@ -230,8 +231,9 @@ def regional_minima(px: DataFrame, value: str) -> DataFrame:
 
 
 def distance_within(pixels: DataFrame, radius: int, frame: DataFrame) -> DataFrame:
-    """Squared distance of mask pixels to the nearest background pixel of the frame, where radius reaches it."""
-    moves = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(a * a + b * b).alias("d2")) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if 0 < a * a + b * b <= radius * radius]))
-    outside = explode_runs(complement(runs_of(pixels), frame)).select("scene_id", "row", "col", moves.alias("m"))
-    reached = outside.groupBy("scene_id", (F.col("row") + F.col("m.a")).alias("row"), (F.col("col") + F.col("m.b")).alias("col")).agg(F.min("m.d2").alias("d2"))
-    return reached.join(pixels, ["scene_id", "row", "col"], "left_semi")
+    """Squared distance of mask pixels to the nearest background pixel of the frame, where radius reaches it. Only
+    background next to the mask can be nearest."""
+    mask = runs_of(pixels)
+    edge = explode_runs(intersect(dilate(mask, diamond(1), frame), complement(mask, frame)))
+    near = distance.nearest(edge.select("scene_id", "row", "col", F.lit(0).cast("bigint").alias("label")), frame, radius).drop("label")
+    return near.join(pixels.select("scene_id", "row", "col"), ["scene_id", "row", "col"], "left_semi")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenetrack.operators import distance, forest
+
 ROW, COL = ("row", "col"), ("col", "row")  # line and place in it
 
 
@@ -142,21 +144,12 @@ def branch_points(coded: DataFrame) -> DataFrame:
     return px.where(found).drop("_m", "parts")
 
 
-def reconstruct_gray(px: DataFrame, marker: str, mask: str, steps: int = 6) -> DataFrame:
-    """Grey reconstruction by dilation: the marker spreads to 4-neighbours, never above the mask, until nothing changes.
-
-    Each pass takes several steps and cuts the lineage; passes grow with the longest path a value travels.
-    """
-    from scenetrack.session import cut
-
-    now = cut(px.withColumn("_v", F.least(marker, mask)).withColumn("_old", F.col("_v")))
-    while True:
-        step = now
-        for _ in range(steps):
-            step = step.withColumn("_v", F.least(F.col(mask), F.greatest(F.col("_v"), shift("_v", ROW, -1), shift("_v", ROW, 1), shift("_v", COL, -1), shift("_v", COL, 1))))
-        now = cut(step.withColumn("_moved", F.col("_v") > F.col("_old")).withColumn("_old", F.col("_v")))
-        if not now.where("_moved").limit(1).count():
-            return now.drop("_moved", "_old").withColumnRenamed("_v", "reconstructed")
+def reconstruct_gray(px: DataFrame, marker: str, mask: str, tile: int = forest.TILE) -> DataFrame:
+    """px with reconstructed: the marker spreads to 4-neighbours, never above the mask, until nothing changes (grey
+    reconstruction by dilation), from one spanning forest of the pixels."""
+    kind = px.select(F.least(marker, mask)).schema[0].dataType
+    reached = forest.highest_reached(px, marker, mask, tile)
+    return px.join(reached.select("scene_id", "row", "col", F.col("reached").cast(kind).alias("reconstructed")), ["scene_id", "row", "col"])
 
 
 def opened_by_reconstruction(px: DataFrame, value: str, radius: int) -> DataFrame:
@@ -202,15 +195,10 @@ def filled_minima(px: DataFrame, value: str, height: float, top: float) -> DataF
     return reconstruct_gray(ready, "_marker", "_mask").withColumn("filled", top - F.col("reconstructed")).drop("_mask", "_marker", "reconstructed")
 
 
-def squared_distance(px: DataFrame, bit: str, out: str, radius: int) -> DataFrame:
-    """Exact squared distance of set pixels to the nearest unset one of a dense raster, as far as radius; NULL beyond.
-
-    Along rows the nearest unset column is a running maximum and minimum; along columns the least sum of squares is looked
-    up among the radius rows on either side."""
-    row = Window.partitionBy("scene_id", "row").orderBy("col")
-    here = F.when(F.col(bit) == 0, F.col("col"))
-    before, after = F.max(here).over(row.rowsBetween(Window.unboundedPreceding, 0)), F.min(here).over(row.rowsBetween(0, Window.unboundedFollowing))
-    px = px.withColumn("_d", F.least(F.col("col") - before, after - F.col("col")))
-    line = along(COL)
-    best = F.least(*[F.pow(F.lag("_d", k).over(line) if k > 0 else F.lead("_d", -k).over(line) if k < 0 else F.col("_d"), 2) + k * k for k in range(-radius, radius + 1)])
-    return px.withColumn(out, F.when(best <= radius * radius, best.cast("bigint"))).drop("_d")
+def squared_distance(px: DataFrame, bit: str, out: str, radius: int | None = None) -> DataFrame:
+    """Exact squared distance of the pixels of a dense raster to the nearest unset one; NULL beyond the radius, if one is
+    given, and where a scene has no unset pixel."""
+    extent = px.groupBy("scene_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+    unset = px.where(F.col(bit) == 0).select("scene_id", "row", "col", F.lit(0).cast("bigint").alias("label"))
+    found = distance.nearest(unset, extent, radius).select("scene_id", "row", "col", F.col("d2").alias(out))
+    return px.join(found, ["scene_id", "row", "col"], "left")

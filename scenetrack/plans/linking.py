@@ -100,7 +100,7 @@ def watershed_product(spark, d):
 @query()
 def watershed(spark, d):
     """Objects split at narrows; tested against flooding pixel by pixel."""
-    return B.watershed(V.mask(spark, d), frame(spark, d), most=4).select(*big("row", "col", "label"))
+    return B.watershed(V.mask(spark, d), frame(spark, d)).select(*big("row", "col", "label"))
 
 
 @query()

@@ -129,7 +129,7 @@ def _two_ways(image: DataFrame, frame: DataFrame, cloud: DataFrame, coast: DataF
     for name, pixels in (("clusters", clusters), ("bright", bright)):
         filled = cut(R.explode_runs(R.fill_by_size(cut(R.runs_of(pixels)), frame, 1, settings.hole)))
         keep(name, filled)
-        sides.append(cut(B.watershed(filled, frame, most=settings.depth * 4)))
+        sides.append(cut(B.watershed(filled, frame)))
     dense = [S.dense_mask(side, frame).select(*CELL).join(side, CELL, "left").withColumn("label", F.coalesce("label", F.lit(0))) for side in sides]
     # only boundaries between two basins, not those to the background
     divide = B.watershed_product(dense[0], dense[1]).join(sides[0].select(*CELL), CELL, "left_semi")

@@ -3,7 +3,6 @@
 import math
 import random
 import struct
-from collections import deque
 
 import numpy as np
 import pytest
@@ -11,7 +10,7 @@ from helpers import art, cells, frame, pixels
 from pyspark.sql import functions as F
 
 from scenetrack.functions import geo
-from scenetrack.operators import basins, clouds, contours, objects, runs, stencil, tiles, tracking
+from scenetrack.operators import basins, clouds, contours, forest, objects, runs, stencil, tiles, tracking
 from scenetrack.session import numbered
 from scenetrack.sources import archive, views
 
@@ -136,18 +135,20 @@ def test_squared_distance(spark):
 
 
 def flooded(values, markers):
-    """Each pixel's marker over the lowest highest value, then by steps, then by label."""
-    best = {p: (values[p[0]][p[1]], 0, m) for p, m in markers.items()}
-    todo = deque(best)
-    while todo:
-        i, j = todo.popleft()
-        level, steps, label = best[i, j]
-        for to in near(values, i, j):
-            offer = (max(level, values[to[0]][to[1]]), steps + 1, label)
-            if to not in best or offer < best[to]:
-                best[to] = offer
-                todo.append(to)
-    return {p: b[2] for p, b in best.items()}
+    """Each pixel's marker when the least step from a flooded to a dry pixel is taken, again and again; steps by the
+    higher pixel, the lower one, then the scattered order of edges."""
+    out = dict(markers)
+
+    def order(p, q):
+        x = min(p, q)
+        number = (x[0] * 2**31 + x[1]) * 2 + (p[0] == q[0])
+        return max(at(p), at(q)), min(at(p), at(q)), int(forest.scattered(np.array([number]))[0]), number
+
+    at = lambda p: values[p[0]][p[1]]
+    while steps := [(order(p, q), q, out[p]) for p in out for q in near(values, *p) if q not in out]:
+        _, q, label = min(steps)
+        out[q] = label
+    return out
 
 
 def test_basins_equal_flooding(spark):
@@ -162,7 +163,7 @@ TWO = "...................... ...####.......####.... ..######.....######... .###
 
 
 def test_watershed_splits_touching_discs(spark):
-    got = basins.watershed(pixels(spark, TWO), frame(spark, TWO), most=6).collect()
+    got = basins.watershed(pixels(spark, TWO), frame(spark, TWO)).collect()
     left, right = {r.label for r in got if r.col <= 7}, {r.label for r in got if r.col >= 14}
     assert len(left) == len(right) == 1 and left != right and {(r.row, r.col) for r in got} == art(TWO)
 
