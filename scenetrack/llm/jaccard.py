@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, release, row_key, table, with_hot_keys
+from .common import cut_lineage, release, row_key, table, tidy, with_hot_keys
 from .components import components
 from .minhash import links_of
 from .textops import BATCH_BYTES, CHUNK_BYTES, WIDE, Texts, U, map_texts, mix, record_batch, slices
@@ -217,8 +217,10 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     same = ["n", "one", "two"]
     sets = cut_lineage(rows.where("n > 0").groupBy(same).agg(F.min("row_key").alias("vertex"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies")))
     first = linkable(sets.select("one", "n", "vertex", "copies"), docs, SHARE, percent)
+    tidy(docs.sparkSession)
     texts = with_hot_keys(docs.select(row_key().alias("vertex"), "text"), first.select("vertex", "copies"), ["vertex"], "copies", total, "left_semi")
     texts = cut_lineage(texts.dropDuplicates(["vertex"]))
+    tidy(docs.sparkSession)
     chosen = linkable(first, texts, 1.0, percent)
     live = cut_lineage(texts.join(chosen.select("vertex"), "vertex", "left_semi"))
     release(texts)

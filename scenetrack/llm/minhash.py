@@ -9,7 +9,7 @@ Texts with the same words are one class from the start; only one document of eac
 make buckets. Within a bucket, members are not paired with each other:
   1. each is verified against the bucket's least id (a star); verified links give components;
   2. buckets of three and more that still have several components go on, without members of which more than the
-     tolerated share of runs occurs in no other such member (they can link to none). Each bucket takes the member with the
+     tolerated share of runs occurs in no other component (they can link to none). Each bucket takes the member with the
      fewest such runs as the next centre;
   3. what is left is joined across components by the differences of each text to that centre, which give the similarity
      of two texts exactly, so that no link between different components of a bucket is lost.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, row_key, table, with_hot_keys
+from .common import cut_lineage, release, row_key, table, with_hot_keys
 from .components import components
 from .textops import Texts, U, column_texts, map_texts, mix, record_batch
 
@@ -130,13 +130,14 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, total: int, s
 
 
 def run_rows(texts: DataFrame, sets: Sets = run_sets) -> DataFrame:
-    """(doc_id, run) for every different run of texts."""
+    """(doc_id, component, run) for every different run of texts (doc_id, component, text)."""
 
     def work(rows, got):
         hashes, at = sets(got)
-        return {"doc_id": pa.array(np.repeat(np.array(rows["doc_id"]), np.diff(at))), "run": hashes}
+        each = lambda c: pa.array(np.repeat(np.array(rows[c]), np.diff(at)))
+        return {"doc_id": each("doc_id"), "component": each("component"), "run": hashes}
 
-    return map_texts(texts.select("doc_id", "text"), "doc_id long, run long", work)
+    return map_texts(texts.select("doc_id", "component", "text"), "doc_id long, component long, run long", work)
 
 
 def links_of(buckets: DataFrame, texts: DataFrame, threshold: float, total: int, sets: Sets = run_sets) -> DataFrame:
@@ -163,11 +164,12 @@ def links_of(buckets: DataFrame, texts: DataFrame, threshold: float, total: int,
         return with_hot_keys(named, several, ["key"], "members", total, "left_semi")
 
     rest = cut_lineage(open_rows(links))
-    ids = rest.select("doc_id", "runs").distinct()
-    runs = run_rows(few.join(ids, "doc_id", "left_semi"), sets)
-    alone = runs.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    shared = ids.join(alone, "doc_id", "left").select("doc_id", (F.col("runs") - F.coalesce("alone", F.lit(0))).alias("shared"), "runs")
-    shared = cut_lineage(shared.where(F.col("shared") >= threshold * F.col("runs")).drop("runs"))
+    ids = rest.select("doc_id", "runs", "component").distinct()
+    runs = cut_lineage(run_rows(few.join(ids.drop("runs"), "doc_id"), sets))
+    foreign = runs.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("holders")).where("lo <> hi").select("run", "holders")
+    held = with_hot_keys(runs, cut_lineage(foreign), ["run"], "holders", total, "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    shared = cut_lineage(ids.join(held, "doc_id").where(F.col("shared") >= threshold * F.col("runs")).select("doc_id", "shared"))
+    release(runs)
     live = cut_lineage(rest.drop("members").join(shared, "doc_id"))
     best = F.struct(F.col("shared") / F.col("runs"), -F.col("doc_id"))
     seconds = cut_lineage(live.groupBy("key").agg(F.max_by("doc_id", best).alias("second"), F.max_by("runs", best).alias("second_runs"), F.count("*").alias("members")))
