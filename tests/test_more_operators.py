@@ -6,7 +6,7 @@ import struct
 
 import numpy as np
 import pytest
-from helpers import art, cells, frame, pixels
+from helpers import art, cells, frame, outline, pixels
 from pyspark.sql import functions as F
 
 from scenetrack.functions import geo
@@ -22,10 +22,10 @@ BLOB = ".....##... ..#######. .########. ..######.. ...####... ....#....."
 
 def test_outline_of_known_shapes():
     square = {(r, c) for r in range(3) for c in range(3)}
-    assert contours.outline(square) == [(0, 0), (0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0), (0, 0)]
-    assert contours.outline({(4, 4)}) == [(4, 4)]
-    assert contours.outline({(0, 0), (0, 1), (0, 2)}) == [(0, 0), (0, 1), (0, 2), (0, 1), (0, 0)]
-    assert contours.outline({(0, 0), (1, 1)}) == [(0, 0), (1, 1), (0, 0)]
+    assert outline(square) == [(0, 0), (0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0), (0, 0)]
+    assert outline({(4, 4)}) == [(4, 4)]
+    assert outline({(0, 0), (0, 1), (0, 2)}) == [(0, 0), (0, 1), (0, 2), (0, 1), (0, 0)]
+    assert outline({(0, 0), (1, 1)}) == [(0, 0), (1, 1), (0, 0)]
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -48,7 +48,7 @@ def test_outline_visits_the_outer_border(seed):
                 outside.add(to)
                 todo.append(to)
     border = {(a, b) for a, b in shape if {(a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)} & outside}
-    walk = contours.outline(shape)
+    walk = outline(shape)
     assert set(walk) == border and walk[0] == walk[-1]
     assert all(max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1 for a, b in zip(walk, walk[1:], strict=False))
 
@@ -62,6 +62,38 @@ def test_contours_by_object(spark):
     assert sorted(map(len, by_label.values())) == [1, 9]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_contours_equal_walks(spark, seed):
+    r = random.Random(seed)
+    scenes = ["\n".join("".join("#" if r.random() < share else "." for _ in range(23)) for _ in range(19)) for share in (0.45, 0.6, 0.85)] + ["#" * 300, "#\n" * 41, "####\n#..#\n####"]
+    labelled = runs.components(runs.runs_of(pixels(spark, *scenes)), 8 if seed == 2 else 4)
+    shapes, got = {}, {}
+    for x in runs.explode_runs(labelled.select("scene_id", "label", "row", "c0", "c1")).collect():
+        shapes.setdefault((x.scene_id, x.label), set()).add((x.row, x.col))
+    for x in contours.contours(labelled).orderBy("i").collect():
+        got.setdefault((x.scene_id, x.label), []).append((x.i, (x.row, x.col)))
+    assert got == {k: list(enumerate(outline(v))) for k, v in shapes.items()}
+
+
+def test_periodic_spline_solves_the_cyclic_system():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 3, 4, 7, 30, 31):
+        knots = r.normal(size=n)
+        values = np.append(knots, knots[0])
+        matrix = np.zeros((n, n))
+        for i in range(n):
+            for j, w in ((i - 1, 1), (i, 4), (i + 1, 1)):
+                matrix[i, j % n] += w
+        bend = np.linalg.solve(matrix, 6 * (np.roll(knots, -1) - 2 * knots + np.roll(knots, 1)))
+        at = np.linspace(0, n, 40)
+        k = np.minimum(at.astype(int), n - 1)
+        t, to = at - k, (k + 1) % n
+        want = (bend[k] * (1 - t) ** 3 + bend[to] * t**3) / 6 + (knots[k] - bend[k] / 6) * (1 - t) + (knots[to] - bend[to] / 6) * t
+        assert np.allclose(contours.periodic_spline(values, at), want)
+        assert np.allclose(contours.periodic_spline(values, np.arange(n + 1)), values)
+    assert contours.periodic_spline(np.array([5.0]), np.zeros(2)).tolist() == [5, 5]
+
+
 def test_spline_passes_its_knots_and_has_straight_ends():
     values = np.array([3.0, 1.0, 4.0, 1.0, 5.0, 9.0])
     assert np.allclose(contours.natural_spline(values, np.arange(6)), values)
