@@ -11,8 +11,8 @@ make buckets. Within a bucket, members are not paired with each other:
   2. buckets of three and more that still have several components go on, without members of which more than the
      tolerated share of runs occurs in no other component (they can link to none). Each bucket takes the member with the
      fewest such runs as the next centre;
-  3. what is left is joined across components by the differences of each text to that centre, which give the similarity
-     of two texts exactly, so that no link between different components of a bucket is lost.
+  3. what is left is joined across components by bitmaps of the texts, which bound the similarity from above, and verified, so
+     that no link between different components of a bucket is lost.
 Two documents link if the Jaccard similarity of their sets of runs is THRESHOLD at least, computed from whole texts.
 
 Inside, rows are told apart by 64 bits of their id and text, so ids may be null or repeat with different texts.
@@ -39,7 +39,8 @@ SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
 PART_PAIRS = 1_000  # pairs of a hub that meet one copy of its text
-PART_MEMBERS = 200  # members of a bucket that are joined with as many others at once
+PART_MEMBERS = 1_000  # members of a bucket that are joined with as many others at once
+MAP_WORDS = 16  # longs of a text's bitmap
 
 
 def weighted_runs(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
@@ -177,47 +178,44 @@ def links_of(buckets: DataFrame, texts: DataFrame, threshold: float, total: int,
     again = cut_lineage(again.select(F.col("second").alias("a"), F.col("doc_id").alias("b")).distinct())
     links = cut_lineage(links.union(verified(again, few, threshold, total, sets)))
     live = open_rows(links).drop("members").join(shared, "doc_id")
-    live = cut_lineage(with_hot_keys(live, seconds, ["key"], "members", total).select("key", "doc_id", "component", "centre", "runs", "shared", "second", "members"))
-    near = live.join(differences(cut_lineage(live.select("second", "doc_id").distinct()), few, total, sets), ["doc_id", "second"])
-    return cut_lineage(links.union(across(cut_lineage(near), threshold)))
+    live = cut_lineage(with_hot_keys(live, seconds, ["key"], "members", total).select("key", "doc_id", "component", "centre", "runs", "members"))
+    maps = cut_lineage(bitmaps(few.join(live.select("doc_id").distinct(), "doc_id", "left_semi"), sets))
+    pairs = cut_lineage(across(cut_lineage(live.join(maps, "doc_id")), threshold))
+    return cut_lineage(links.union(verified(pairs, few, threshold, total, sets)))
 
 
-def differences(pairs: DataFrame, texts: DataFrame, total: int, sets: Sets = run_sets) -> DataFrame:
-    """pairs (second, doc_id) with the runs that only the document has, those only the centre has, and the centre's number."""
-    both = with_both_texts(pairs, texts, "second", "doc_id", total).select("doc_id", "second", F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b"))
+def bitmaps(texts: DataFrame, sets: Sets = run_sets) -> DataFrame:
+    """doc_id, map: MAP_WORDS * 64 bits of each text, of which every run sets one."""
 
-    def work(rows, texts_a):
-        hashes_a, at_a = sets(texts_a)
-        hashes_b, at_b = sets(column_texts(rows["text_b"]))
-        added, missing = [], []
-        for i in range(len(texts_a)):
-            x, y = hashes_a[at_a[i] : at_a[i + 1]].view(np.int64), hashes_b[at_b[i] : at_b[i + 1]].view(np.int64)
-            added.append(np.setdiff1d(x, y, assume_unique=True))
-            missing.append(np.setdiff1d(y, x, assume_unique=True))
-        kind = pa.list_(pa.int64())
-        return {"doc_id": rows["doc_id"], "second": rows["second"], "added": pa.array(added, kind), "missing": pa.array(missing, kind), "base": np.diff(at_b).astype(np.int32)}
+    def work(rows, got):
+        hashes, at = sets(got)
+        bit = (mix(hashes ^ U(0xA24BAED4963EE407)) % U(MAP_WORDS * 64)).astype(np.int64)
+        words = np.zeros((len(got), MAP_WORDS), U)
+        np.bitwise_or.at(words, (np.repeat(np.arange(len(got)), np.diff(at)), bit // 64), U(1) << (bit % 64).astype(U))
+        return {"doc_id": rows["doc_id"], "map": words}
 
-    return map_texts(both, "doc_id long, second long, added array<long>, missing array<long>, base int", work, text="text_a")
+    return map_texts(texts.select("doc_id", "text"), "doc_id long, map array<long>", work)
 
 
 def across(near: DataFrame, threshold: float) -> DataFrame:
-    """Links between components of a bucket. Both texts are known by their differences to the bucket's centre, which
-    give the size of their common part exactly; so the join yields links only, and no text is read for other pairs.
+    """Pairs (a, b) of different components of a bucket that may have the similarity: all but those that sizes or bitmaps
+    rule out. A bit that only one of two texts sets is a run at least that the other lacks, so their common runs are as many
+    as the one's runs less such bits at most.
 
     Large buckets are cut into parts of PART_MEMBERS; each two parts meet in a group of their own, so that no task gets all
     pairs of a bucket."""
     parts = F.ceil(F.col("members") / PART_MEMBERS)
-    dealt = near.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts)).withColumn("parts", parts)
+    columns = ["key", "doc_id", "component", "centre", "runs", *[F.col("map")[k].alias(f"map{k}") for k in range(MAP_WORDS)]]
+    dealt = near.select(*columns, F.pmod(F.xxhash64("doc_id"), parts).alias("part"), parts.alias("parts"))
     x = dealt.withColumn("low", F.col("part")).withColumn("high", F.explode(F.sequence("part", F.col("parts") - 1))).alias("x")
     y = dealt.withColumn("high", F.col("part")).withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), "part"))).alias("y")
-    least = F.least("x.shared", "y.shared")
     may = (F.col("x.key") == F.col("y.key")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
     may = may & ((F.col("x.low") < F.col("x.high")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & (F.col("x.component") != F.col("y.component"))
-    may = may & (least + 1e-9 >= threshold / (1 + threshold) * (F.col("x.runs") + F.col("y.runs"))) & (F.col("x.doc_id") != F.col("x.centre")) & (F.col("y.doc_id") != F.col("y.centre"))
-    kept = F.col("x.base") - F.size("x.missing") - F.size("y.missing") + F.size(F.array_intersect("x.missing", "y.missing"))
-    common = kept + F.size(F.array_intersect("x.added", "y.added"))
+    may = may & (F.col("x.doc_id") != F.col("x.centre")) & (F.col("y.doc_id") != F.col("y.centre")) & (F.least("x.runs", "y.runs") >= threshold * F.greatest("x.runs", "y.runs"))
+    lacks = lambda p, q: sum((F.bit_count(F.col(f"{p}.map{k}").bitwiseAND(F.bitwise_not(f"{q}.map{k}"))) for k in range(MAP_WORDS)), F.lit(0))
+    common = F.least(F.col("x.runs") - lacks("x", "y"), F.col("y.runs") - lacks("y", "x"))
     similar = common >= threshold * (F.col("x.runs") + F.col("y.runs") - common)
-    return x.join(y, may & similar).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    return x.join(y, may & similar).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def classes_of(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, int]:
