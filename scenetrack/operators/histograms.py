@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenetrack.session import cut
+
 
 def histogram(px: DataFrame, value: str, bins: int, keys: tuple[str, ...] = ("scene_id",), low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Counts of equal bins over low..high; the top value falls into the last bin; empty bins are 0."""
@@ -167,9 +169,42 @@ def entropy(px: DataFrame, value: str, bins: int, keys: tuple[str, ...]) -> Data
     return total.groupBy(*keys).agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
 
 
+BINS = 4_096  # of a round of exact_percentiles
+
+
+def exact_percentiles(px: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """(scene_id, p): exact percentiles of each scene (array, one for each share), between two ranks in proportion; nulls don't count.
+
+    Each rank is narrowed by histograms: a round counts the values of its interval in BINS bins and goes on with the bin
+    that holds the rank, from its least to its greatest value, until they are equal. Tasks hold counts of bins only; values of
+    few levels take one round, any doubles some five.
+    """
+    v = px.where(F.col(value).isNotNull()).select("scene_id", F.col(value).cast("double").alias("_v"))
+    ends = v.groupBy("scene_id").agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    place = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(float(s)) for s in shares]), F.col("share") + 1)
+    wanted = ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(shares) - 1))).alias("share")).withColumn("place", place)
+    ranks = F.explode(F.array(*[F.struct(F.lit(up).alias("up"), f("place").cast("bigint").alias("rank")) for up, f in ((0, F.floor), (1, F.ceil))]))
+    now = cut(wanted.select("scene_id", "share", "place", "lo", "hi", F.lit(0).cast("bigint").alias("below"), ranks.alias("r")).select("*", "r.*").drop("r"))
+    keys = ["scene_id", "share", "up"]
+    line = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    while not (open_ := now.where("lo < hi")).isEmpty():
+        inside = v.join(open_.select(*keys, "lo", "hi"), "scene_id").where("_v between lo and hi")
+        bin_ = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)).alias("bin")
+        counts = inside.groupBy(*keys, bin_).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        before = counts.withColumn("_before", F.coalesce(F.sum("n").over(line), F.lit(0)))
+        met = open_.drop("lo", "hi").join(before, keys).where((F.col("rank") >= F.col("below") + F.col("_before")) & (F.col("rank") < F.col("below") + F.col("_before") + F.col("n")))
+        narrower = met.select(*keys, "place", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), (F.col("below") + F.col("_before")).alias("below"), "rank")
+        now = cut(now.where("lo >= hi").unionByName(narrower))
+    pair = now.groupBy("scene_id", "share").agg(F.first("place").alias("place"), F.min(F.struct("up", "lo")).alias("a"), F.max(F.struct("up", "lo")).alias("b"))
+    floor, ceil = F.floor("place"), F.ceil("place")
+    between = (ceil - F.col("place")) * F.col("a.lo") + (F.col("place") - floor) * F.col("b.lo")
+    found = pair.select("scene_id", "share", F.when((floor == ceil) | (F.col("a.lo") == F.col("b.lo")), F.col("a.lo")).otherwise(between).alias("value"))
+    return found.groupBy("scene_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("share", "value"))), lambda x: x["value"]).alias("p"))
+
+
 def stretch(px: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Linear stretch between two percentiles of each scene to 0..255."""
-    ends = px.groupBy("scene_id").agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("p"))
+    ends = exact_percentiles(px, value, [low, high])
     scaled = (F.col(value) - F.col("p")[0]) / (F.col("p")[1] - F.col("p")[0]) * 255
     return px.join(ends, "scene_id").withColumn("stretched", F.round(F.least(F.lit(255.0), F.greatest(F.lit(0.0), scaled))).cast("int")).drop("p")
 

@@ -234,3 +234,19 @@ def test_archive_rejects_other_versions(spark, tmp_path):
     spark.sql("select 1 as scene_id, '99' as archive_version").write.parquet(f"{tmp_path}/t")
     with pytest.raises(ValueError):
         archive.read_archive(spark, str(tmp_path), "t")
+
+
+def test_exact_percentiles_of_any_values(spark):
+    import random
+
+    import numpy as np
+
+    from scenetrack.operators import histograms
+
+    r = random.Random(8)
+    scenes = [[r.gauss(0, 1e6) for _ in range(2_000)], [float(r.randint(0, 9)) for _ in range(501)], [7.5], [1.0, 1.0 + 2**-52, 1.0 + 2**-51, -1e300, 1e300], [3.0] * 40]
+    px = spark.createDataFrame([(k, v) for k, x in enumerate(scenes) for v in [*x, None]], "scene_id int, v double")
+    shares = [0.0, 0.01, 0.5, 0.73, 0.99, 1.0]
+    got = {x.scene_id: x.p for x in histograms.exact_percentiles(px, "v", shares).collect()}
+    want = {x.scene_id: x.p for x in px.groupBy("scene_id").agg(F.percentile("v", F.array(*[F.lit(s) for s in shares])).alias("p")).collect()}
+    assert got == want and np.allclose(got[0], np.quantile(scenes[0], shares))
