@@ -134,6 +134,20 @@ def clahe(px: DataFrame, value: str, frame: DataFrame, rblocks: int = 8, cblocks
     return px.join(blended, ["scene_id", "row", "col"])
 
 
+def clahe_by_range(px: DataFrame, values: list[str], frame: DataFrame, rblocks: int = 8, cblocks: int = 8, bins: int = 256, clip: float = 0.99) -> DataFrame:
+    """px with <value>_even for each value: contrast-limited equalisation between the channel's own least and greatest value in
+    the scene; a channel of one value stays."""
+    ends = cut(px.groupBy("scene_id").agg(*[f(v).cast("double").alias(f"_{name}_{v}") for v in values for name, f in (("lo", F.min), ("hi", F.max))]))
+    out = px
+    for v in values:
+        lo, hi = F.col(f"_lo_{v}"), F.col(f"_hi_{v}")
+        unit = px.join(ends, "scene_id").select("scene_id", "row", "col", lo.alias("lo"), hi.alias("hi"), F.when(hi > lo, (F.col(v) - lo) / (hi - lo)).otherwise(F.lit(0.0)).alias("unit"))
+        even = clahe(unit, "unit", frame, rblocks, cblocks, bins, clip)
+        back = F.when(F.col("hi") > F.col("lo"), F.col("lo") + F.col("clahe") * (F.col("hi") - F.col("lo"))).otherwise(F.col("lo"))
+        out = out.join(even.select("scene_id", "row", "col", back.alias(f"{v}_even")), ["scene_id", "row", "col"])
+    return out
+
+
 def flatten_threshold(kurt2: Column, kurt1: Column, skew2: Column, share: Column, cloud_share: Column, spread: Column) -> Column:
     """Grey level (of 1) under which an ice image is flattened: 50, 130 or 80 of 255.
 

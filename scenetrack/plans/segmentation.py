@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scenetrack.functions import geo
 from scenetrack.functions import masks as M
+from scenetrack.operators import cleaners as N
 from scenetrack.operators import clouds as C
 from scenetrack.operators import histograms as H
 from scenetrack.operators import objects as O
@@ -13,7 +14,7 @@ from scenetrack.operators import runs as R
 from scenetrack.operators import stencil as S
 from scenetrack.operators import tiles as T
 from scenetrack.plans import sql as Q
-from scenetrack.plans.queries import BOX1, BOX_MEAN, C4, DISK2, GT, MASK, OBJ, RUN, RUN_SQL, TWO, base, big, dilate_sql, element_sql, erode_sql, frame, labelled, query, rounded, rsql, tiled, two_labels
+from scenetrack.plans.queries import BOX1, BOX_MEAN, C4, CASES, DISK2, GT, MASK, OBJ, ORACLE_SQL, RUN, RUN_SQL, TWO, base, big, dilate_sql, element_sql, erode_sql, frame, labelled, query, rounded, rsql, tiled, two_labels
 from scenetrack.sources import views as V
 
 PIXEL = '"row"::bigint as "row", col::bigint as col'
@@ -263,6 +264,49 @@ def clahe(spark, d):
     return out.select(*big("row", "col"), *rounded("clahe"))
 
 
+BY_RANGE = ORACLE_SQL["clahe"].replace("b as (", "b0 as (", 1).replace("sd as (", 'ra as (select min(b7) as lo, max(b7) as hi from b0), b as (select "row", col, (b7-lo)/(hi-lo) as b2 from b0, ra), sd as (', 1)
+
+
+@query(BY_RANGE.replace("round(sum(wgt*share),6)+0.0 as clahe from fo join mp using (br,bc,bin) group by 1,2", "round(any_value(lo)+sum(wgt*share)*(any_value(hi)-any_value(lo)),6)+0.0 as b7_even from fo join mp using (br,bc,bin), ra group by 1,2"))
+def clahe_by_range(spark, d):
+    """The same between the channel's own least and greatest value."""
+    out = H.clahe_by_range(V.px_bands(spark, d), ["b7"], band_frame(spark, d), 4, 4, 32, 1.5)
+    return out.select(*big("row", "col"), *rounded("b7_even"))
+
+
+@query()
+def branch_bridge(spark, d):
+    """Branch points and what bridges them; tested pixel by pixel."""
+    return N.branch_bridge(base(spark, d), frame(spark, d)).select(*big(*RUN))
+
+
+@query()
+def split_morphologically(spark, d):
+    """Objects divided along leads; tested pixel by pixel."""
+    none = base(spark, d).where("false")
+    return N.split_morphologically(base(spark, d), none, frame(spark, d), least=4, element=R.diamond(1)).select(*big(*RUN))
+
+
+@query()
+def finished_mask(spark, d):
+    """The last clean-up of a segmentation; tested pixel by pixel."""
+    return N.finished(base(spark, d), None, frame(spark, d)).select(*big(*RUN))
+
+
+NAMES = "na as (select case_number, region, s, sat, case when length(case_number::varchar)>3 then case_number::varchar else lpad(case_number::varchar,3,'0') end as number, (select count(*) from lineitem where l_orderkey=case_number and l_returnflag='R') as objects from ca, (select unnest(['aqua','terra']) as sat))"
+
+
+@query(Q.query(CASES, NAMES, "select case_number, sat as satellite, number||'-'||region||'-100km-'||strftime(s,'%Y%m%d')||'-'||sat||'-250m' as name, case when objects<>0 then 'data/validation_dataset/binary_floes/'||number||'-'||region||'-'||strftime(s,'%Y%m%d')||'-'||sat||'-binary_floes.png' end as path from na"))
+def case_names(spark, d):
+    """Names and image paths of cases; a case without objects has no path. Returned items count as objects."""
+    items = V.read(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("case_number")).agg(F.count("*").alias("objects"))
+    cases = V.cases(spark, d).withColumn("satellite", F.explode(F.array(F.lit("aqua"), F.lit("terra"))))
+    counted = cases.join(items, "case_number", "left").withColumn("objects", F.coalesce("objects", F.lit(0)))
+    named = V.case_path(V.case_names(counted), "binary_floes", "path", objects="objects")
+    return named.select("case_number", "satellite", "name", "path")
+
+
+
 @query(
     Q.query(
         Q.BANDS,
@@ -439,7 +483,6 @@ def object_columns(spark, d):
     return O.renamed(o, {"label": "floe", "row_centroid": "y", "col_centroid": "x"}, ("row_centroid", "col_centroid"))
 
 
-CASES = "ca as (select o_orderkey as case_number, r_name as region, cast(o_orderdate as date) as s from orders join customer on o_custkey=c_custkey join nation on c_nationkey=n_nationkey join region on n_regionkey=r_regionkey)"
 
 
 @query(Q.query(CASES, "select case_number, region, s as start from ca where region='ASIA' order by s desc, case_number limit 40 offset 5"))

@@ -81,6 +81,23 @@ def expand_cases(cases: DataFrame, satellites: tuple[str, ...] = ("aqua", "terra
     return days.withColumn("satellite", F.explode(F.array(*[F.lit(s) for s in satellites])))
 
 
+def case_names(cases: DataFrame, side: str = "100km", scale: str = "250m") -> DataFrame:
+    """cases (case_number, region, start, satellite) with name: number of three digits at least, region, side, day, satellite and scale."""
+    digits = F.col("case_number").cast("string")
+    number = F.lpad(digits, 3, "0")
+    parts = F.when(F.length(digits) > 3, digits).otherwise(number), F.col("region"), F.lit(side), F.date_format("start", "yyyyMMdd"), F.col("satellite"), F.lit(scale)
+    return cases.withColumn("name", F.concat_ws("-", *parts))
+
+
+def case_path(cases: DataFrame, kind: str, out: str, folder: str = "data/validation_dataset", objects: str | None = None, ending: str = "png") -> DataFrame:
+    """cases with out: where the image of a kind lies; NULL where the column objects (how many a case has) is 0."""
+    digits = F.col("case_number").cast("string")
+    number = F.when(F.length(digits) > 3, digits).otherwise(F.lpad(digits, 3, "0"))
+    file = F.concat_ws("-", number, "region", F.date_format("start", "yyyyMMdd"), "satellite", F.lit(f"{kind}.{ending}"))
+    path = F.concat(F.lit(f"{folder}/{kind}/"), file)
+    return cases.withColumn(out, path if objects is None else F.when(F.col(objects) != 0, path))
+
+
 def with_overpass(scenes: DataFrame, passes: DataFrame) -> DataFrame:
     """scenes (day, satellite, ...) with the first pass (satellite, time) of their day; NULL without one."""
     first = passes.groupBy(F.to_date("time").alias("day"), "satellite").agg(F.min("time").alias("pass_time"))
