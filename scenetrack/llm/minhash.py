@@ -165,36 +165,80 @@ def links_of(buckets: DataFrame, texts: DataFrame, threshold: float, total: int,
         return with_hot_keys(named, several, ["key"], "members", total, "left_semi")
 
     rest = cut_lineage(open_rows(links))
+    if rest.isEmpty():
+        return links
     ids = rest.select("doc_id", "runs", "component").distinct()
     runs = cut_lineage(run_rows(few.join(ids.drop("runs"), "doc_id"), sets))
     foreign = runs.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("holders")).where("lo <> hi").select("run", "holders")
     held = with_hot_keys(runs, cut_lineage(foreign), ["run"], "holders", total, "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
     shared = cut_lineage(ids.join(held, "doc_id").where(F.col("shared") >= threshold * F.col("runs")).select("doc_id", "shared"))
     release(runs)
+    if shared.isEmpty():
+        return links
     live = cut_lineage(rest.drop("members").join(shared, "doc_id"))
     best = F.struct(F.col("shared") / F.col("runs"), -F.col("doc_id"))
     seconds = cut_lineage(live.groupBy("key").agg(F.max_by("doc_id", best).alias("second"), F.max_by("runs", best).alias("second_runs"), F.count("*").alias("members")))
     again = with_hot_keys(live, seconds, ["key"], "members", total).where((F.col("doc_id") != F.col("second")) & (F.col("second") != F.col("centre")) & near_sizes(F.col("runs"), F.col("second_runs")))
     again = cut_lineage(again.select(F.col("second").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = cut_lineage(links.union(verified(again, few, threshold, total, sets)))
-    live = open_rows(links).drop("members").join(shared, "doc_id")
+    more = cut_lineage(verified(possible(again, wide := cut_lineage(bitmaps(few.join(shared, "doc_id"), sets)), threshold, total), few, threshold, total, sets))
+    if not more.isEmpty():
+        links = links.union(more)
+        live = open_rows(links).drop("members").join(shared, "doc_id")
     live = cut_lineage(with_hot_keys(live, seconds, ["key"], "members", total).select("key", "doc_id", "component", "centre", "runs", "members"))
-    maps = cut_lineage(bitmaps(few.join(live.select("doc_id").distinct(), "doc_id", "left_semi"), sets))
-    pairs = cut_lineage(across(cut_lineage(live.join(maps, "doc_id")), threshold))
-    return cut_lineage(links.union(verified(pairs, few, threshold, total, sets)))
+    pairs = cut_lineage(across(cut_lineage(live.join(wide.select("doc_id", "map"), "doc_id")), threshold))
+    return cut_lineage(links.union(verified(cut_lineage(possible(pairs, wide, threshold, total)), few, threshold, total, sets)))
+
+
+def set_bits(bits: np.ndarray, owner: np.ndarray, words: int, count: int) -> np.ndarray:
+    """Rows of words longs with the given bits set."""
+    out = np.zeros((count, words), U)
+    np.bitwise_or.at(out, (owner, bits // 64), U(1) << (bits % 64).astype(U))
+    return out
 
 
 def bitmaps(texts: DataFrame, sets: Sets = run_sets) -> DataFrame:
-    """doc_id, map: MAP_WORDS * 64 bits of each text, of which every run sets one."""
+    """doc_id, map (MAP_WORDS longs) and wide (bytes: the number of runs, then the bits of a map of about four times as many bits) of
+    each text; every run sets one bit."""
 
     def work(rows, got):
         hashes, at = sets(got)
-        bit = (mix(hashes ^ U(0xA24BAED4963EE407)) % U(MAP_WORDS * 64)).astype(np.int64)
-        words = np.zeros((len(got), MAP_WORDS), U)
-        np.bitwise_or.at(words, (np.repeat(np.arange(len(got)), np.diff(at)), bit // 64), U(1) << (bit % 64).astype(U))
-        return {"doc_id": rows["doc_id"], "map": words}
-
-    return map_texts(texts.select("doc_id", "text"), "doc_id long, map array<long>", work)
+        bit, n = (mix(hashes ^ U(0xA24BAED4963EE407)) >> U(2)).astype(np.int64), np.diff(at)
+        owner = np.repeat(np.arange(len(got)), n)
+        wide = []
+        for k in range(len(got)):
+            words = 1 << max(int(n[k]) // 16, MAP_WORDS - 1).bit_length()
+            each = bit[at[k] : at[k + 1]] % (words * 64)
+            wide.append(np.append(U(n[k]), set_bits(each, np.zeros(len(each), np.int64), words, 1)[0]).tobytes())
+        return {"doc_id": rows["doc_id"], "map": set_bits(bit % (MAP_WORDS * 64), owner, MAP_WORDS, len(got)), "wide": pa.array(wide, pa.binary())}
+
+    return map_texts(texts.select("doc_id", "text"), "doc_id long, map array<long>, wide binary", work)
+
+
+def most_common(a: bytes, b: bytes) -> tuple[int, int, int]:
+    """Sizes of two sets, and how many runs they have in common at most, by their wide maps."""
+    x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+    n, m, x, y = int(x[0]), int(y[0]), x[1:], y[1:]
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    lacks = lambda p, q: int(np.bitwise_count(p & ~q).sum())
+    return n, m, min(n - lacks(x, y), m - lacks(y, x))
+
+
+def possible(pairs: DataFrame, maps: DataFrame, threshold: float, total: int) -> DataFrame:
+    """pairs (a, b) that wide maps don't rule out: most pairs of long texts go without their texts."""
+    both = with_both_texts(pairs, maps.select("doc_id", F.col("wide").alias("text")), "a", "b", total)
+
+    def check(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["text_a"], batch["text_b"], strict=True):
+                n, m, common = most_common(x.as_py(), y.as_py())
+                keep.append(common >= threshold * (n + m - common))
+            yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    return both.mapInArrow(check, "a long, b long")
 
 
 def across(near: DataFrame, threshold: float) -> DataFrame:
