@@ -30,7 +30,7 @@ def canonical(rows):
     return sorted((tuple(norm(v) for v in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["object_props", "perimeter", "fill_holes", "closing_box", "bridge", "stretch", "kmeans_levels", "track4", "rotation_lookback", "crosscorr", "case_expand", "geo_mercator", "ice_peaks", "relevant_set", "band_rules", "tile_blocks", "box_mean_halo", "clahe", "ice_from_water", "kmeans_tiles", "mask_holes", "merged_objects", "reconstruct_gray", "diffuse_eight", "convex_area", "case_overpass", "track_ids", "rotation_rates"])
+@pytest.mark.parametrize("name", ["object_props", "perimeter", "fill_holes", "closing_box", "bridge", "stretch", "kmeans_levels", "track4", "rotation_lookback", "crosscorr", "case_expand", "geo_mercator", "ice_peaks", "relevant_set", "band_rules", "tile_blocks", "box_mean_halo", "clahe", "ice_from_water", "kmeans_tiles", "mask_holes", "merged_objects", "reconstruct_gray", "diffuse_eight", "convex_area", "case_overpass", "track_ids", "rotation_rates", "contour_points", "case_names", "clahe_by_range", "register_angle", "crosscorr_padded", "distance_squared", "expand_labels"])
 def test_query_equals_sql(spark, duck, name):
     got = QUERIES[name](spark, DIR)
     names = sorted(got.columns)
