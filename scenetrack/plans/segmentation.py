@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scenetrack.functions import geo
@@ -15,6 +17,8 @@ from scenetrack.operators import stencil as S
 from scenetrack.operators import tiles as T
 from scenetrack.plans import sql as Q
 from scenetrack.plans.queries import BOX1, BOX_MEAN, C4, CASES, DISK2, GT, MASK, OBJ, ORACLE_SQL, RUN, RUN_SQL, TWO, base, big, dilate_sql, element_sql, erode_sql, frame, labelled, query, rounded, rsql, tiled, two_labels
+from scenetrack.session import shared_folder
+from scenetrack.sources import bundle
 from scenetrack.sources import views as V
 
 PIXEL = '"row"::bigint as "row", col::bigint as col'
@@ -499,3 +503,13 @@ def case_overpass(spark, d):
     return V.with_overpass(V.expand_cases(days), passes).select("case_number", "day", "satellite", "pass_time")
 
 
+# -- scene bundles ---------------------------------------------------------------------------------------------------
+
+
+@query(Q.query(Q.BANDS, f"select {PIXEL}, round(b7,9) as b7, b2>0.3 as bright, (\"row\"*1000003::bigint+col*7919)::bigint as label from b"))
+def bundle_round_trip(spark, d):
+    """Bands, a mask and labels beyond 8 bits, written as scene bundles and read back."""
+    made = V.px_bands(spark, d).select("scene_id", "row", "col", "b7", (F.col("b2") > 0.3).alias("bright"), (F.col("row") * F.lit(1_000_003).cast("bigint") + F.col("col") * 7_919).alias("label"))
+    path = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    bundle.write_bundles(made, path, "EPSG:3413", {"b7": "1"}, {"b7": "image", "bright": "mask", "label": "label"})
+    return bundle.read_bundles(spark, path).select(*big("row", "col"), F.round("b7", 9).alias("b7"), "bright", "label")
