@@ -23,6 +23,7 @@ empty table gives no rows; extra columns are ignored. A text longer than a block
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -44,6 +45,10 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
+BLANKS = 10_000  # in a row: a limit far below what the fast library's splitter can take
+LONG_BLANK = re.compile(rf"\s{{{BLANKS}}}")
+
+
 class Tokens:
     """Token ids with their bytes: encode(texts) gives ids, piece[id] the bytes, width[id] their number."""
 
@@ -68,10 +73,18 @@ class ByteLevel(Tokens):
         for token, i in ids.items():
             piece[i] = token
         super().__init__(piece)
-        self.model = tiktoken.Encoding("byte level", pat_str=SPLIT, mergeable_ranks=ids, special_tokens={})
+        self.path, self.model = path, tiktoken.Encoding("byte level", pat_str=SPLIT, mergeable_ranks=ids, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.model.encode_ordinary(" " + t) for t in texts]
+        return [self.slowly(" " + t) if len(t) > BLANKS and LONG_BLANK.search(t) else self.model.encode_ordinary(" " + t) for t in texts]
+
+    def slowly(self, text: str) -> list[int]:
+        """The same ids by the library of the vocabulary file, which has no limit on the blanks in a row."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.encode_special_tokens = True
+        return whole.encode(text, add_special_tokens=False).ids
 
 
 class Pieces(Tokens):

@@ -61,6 +61,12 @@ def test_vocabulary_gives_the_ids_of_the_tokenizer_file(encoders):
     assert model.encode(texts) == [encoders[0].encode(" " + t, add_special_tokens=False).ids for t in texts]
 
 
+def test_long_blanks_go_to_the_library_of_the_file(encoders):
+    model = alignment.ByteLevel(alignment.BYTE_BPE)
+    texts = ["x" + " " * 30_000 + "y", "\t \n" * 5_000 + "z", "b" * 30_000]
+    assert model.encode(texts) == [encoders[0].encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
 def test_diagonals_take_equal_work():
     r = np.random.default_rng(3)
     for _ in range(50):
