@@ -75,7 +75,8 @@ def star_labels(edges: DataFrame) -> DataFrame:
     links = cut(edges.select("scene_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
     before = None
     while True:
-        both = links.union(links.select("scene_id", "v", "u"))
+        # both ways by an array: the constraints that Spark keeps of checkpoints can trip its optimiser at a union (key not found)
+        both = links.select("scene_id", F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("_e")).select("scene_id", "_e.u", "_e.v")
         least = both.groupBy("scene_id", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, ["scene_id", "u"]).select("scene_id", "v", "m").where("v <> m").distinct()
         low = large.groupBy("scene_id", "v").agg(F.min("m").alias("w"))
