@@ -112,8 +112,8 @@ def only_labels(labelled: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def binary_segments(labels: DataFrame) -> DataFrame:
-    """Dense label raster with mask: whether a pixel has a label."""
-    return labels.withColumn("mask", F.coalesce(F.col("label") > 0, F.lit(False)))
+    """Dense label raster with mask: whether a pixel has a label; 0 is the label of an object that holds the first pixel."""
+    return labels.withColumn("mask", F.col("label").isNotNull())
 
 
 def without_low_contrast(pixels: DataFrame, px: DataFrame, band: str, most_area: int, least_contrast: float) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Steps that failed on data of the round."""
+"""Emptied star contraction, label 0, distances and components in bands of rows."""
 
 from test_cleaners import Mask
 
+from scenetrack.operators import objects
 from scenetrack.plans.queries import frame, registered
 from scenetrack.sources import views
 
@@ -17,3 +18,8 @@ def test_split_morphologically_runs(spark):
     floes = leads.filled().branched()
     got = registered()[0]["split_morphologically"](spark, DIR).collect()
     assert {(x.row, c) for x in got for c in range(x.c0, x.c1 + 1)} == floes.eroded().dilated().touched(floes).on
+
+
+def test_label_0_is_a_label(spark):
+    dense = spark.createDataFrame([(0, 0, 0, 0), (0, 0, 1, 7), (0, 0, 2, None)], "scene_id int, row int, col int, label long")
+    assert {r.col: r.mask for r in objects.binary_segments(dense).collect()} == {0: True, 1: True, 2: False}
