@@ -6,6 +6,10 @@ most one candidate, whose squared distance to the rows of the column is a parabo
 moves down the column monotonically. So the middle row's best candidate bounds those of the rows on either side, and halving the gaps
 finds all of a strip of STRIP columns with vector operations, O(height log height) a column. Of equal distances the
 smaller label wins: labels count as a difference smaller than any of distances, so the order of candidates is the same.
+
+A task gets BAND rows of a strip with a margin of candidates above and below: of the reach, if there is one. Otherwise a band is
+done if each of its pixels has a feature nearer than the rows beyond the margin; the other bands are taken again with a wider margin,
+so a task's rows grow with the distances in its band and not with the scene's height.
 """
 
 from __future__ import annotations
@@ -17,7 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenetrack.session import cut
+
 STRIP = 16
+BAND, MARGIN, WIDER = 2048, 128, 8  # rows of a band, of its first margin, and how many times wider the next one is
 
 
 def along_rows(features: DataFrame, frame: DataFrame | None, reach: int | None = None) -> DataFrame:
@@ -90,7 +97,26 @@ def down_columns(key: tuple, strip: pd.DataFrame, reach: int | None) -> pd.DataF
     return pd.DataFrame({"scene_id": key[0], "row": queries[q], "col": columns[k], "label": label[best[k, q]], "d2": d2[k, q]})
 
 
-def nearest(features: DataFrame, frame: DataFrame | None, reach: int | None = None) -> DataFrame:
+def in_bands(candidates: DataFrame, margin: int, band: int) -> DataFrame:
+    """candidates with _strip and _band, once for each band that they may serve, whose rows bound lowest and highest."""
+    first, last = (F.greatest(F.least(F.col("row") + by, F.col("highest")), F.col("lowest")) for by in (-margin, margin))
+    keyed = candidates.withColumn("_strip", F.floor(F.col("col") / STRIP).cast("int"))
+    keyed = keyed.withColumn("_band", F.explode(F.sequence(F.floor(first / band).cast("int"), F.floor(last / band).cast("int"))))
+    begin = F.col("_band") * band
+    return keyed.withColumn("lowest", F.greatest("lowest", begin)).withColumn("highest", F.least("highest", begin + band - 1))
+
+
+def settled(key: tuple, strip: pd.DataFrame, margin: int) -> pd.DataFrame:
+    """Nearest features of a band (key: scene, strip, band), if no row beyond the margin can hold nearer ones or equally near
+    ones; else nothing. top and bottom are the scene's ends."""
+    out = down_columns(key, strip, None)
+    row, d2 = out["row"].to_numpy(np.int64), out["d2"].to_numpy(np.int64)
+    above, below = strip["lowest"].iloc[0] - margin, strip["highest"].iloc[0] + margin  # the last rows that were looked at
+    open_ = (above > strip["top"].iloc[0]) & (d2 >= (row - above + 1) ** 2) | (below < strip["bottom"].iloc[0]) & (d2 >= (below - row + 1) ** 2)
+    return (out.iloc[:0] if open_.any() else out).assign(_strip=key[1], _band=key[2])
+
+
+def nearest(features: DataFrame, frame: DataFrame | None, reach: int | None = None, band: int = BAND, margin: int = MARGIN) -> DataFrame:
     """(scene_id, row, col, label, d2): label and squared distance of the nearest feature (scene_id, row, col, label), for all
     pixels of the frame (scene_id, height, width), or for those that have one within reach; without a frame, rows and columns
     have no ends. Scenes without features give none."""
@@ -101,7 +127,26 @@ def nearest(features: DataFrame, frame: DataFrame | None, reach: int | None = No
         candidates = candidates.withColumn("lowest", F.lit(-(1 << 30))).withColumn("highest", F.lit(1 << 30))
     else:
         candidates = candidates.join(frame.select("scene_id", F.lit(0).alias("lowest"), (F.col("height") - 1).alias("highest")), "scene_id")
-    strips = candidates.withColumn("_strip", F.floor(F.col("col") / STRIP).cast("int")).groupBy("scene_id", "_strip")
-    work = functools.partial(down_columns, reach=reach)
-    kind = dict(features.dtypes)["scene_id"]
-    return strips.applyInPandas(lambda key, pdf: work(key, pdf), f"scene_id {kind}, row int, col int, label bigint, d2 bigint")
+    shape = f"scene_id {dict(features.dtypes)['scene_id']}, row int, col int, label bigint, d2 bigint"
+    if reach is not None:
+        work = functools.partial(down_columns, reach=reach)
+        return in_bands(candidates, reach, max(band, reach)).groupBy("scene_id", "_strip", "_band").applyInPandas(lambda key, pdf: work(key, pdf), shape)
+    candidates = candidates.withColumn("top", F.col("lowest")).withColumn("bottom", F.col("highest"))
+    group, parts, todo, height = ["scene_id", "_strip", "_band"], [], None, None
+    while True:
+        spread = in_bands(candidates, margin, band)
+        work = functools.partial(settled, margin=margin)  # cut at once, before the margin changes
+        spread = spread if todo is None else spread.join(todo, group, "left_semi")
+        parts.append(cut(spread.groupBy(*group).applyInPandas(lambda key, pdf: work(key, pdf), shape + ", _strip int, _band int")))
+        if todo is None:
+            ends = frame.join(features.select("scene_id").distinct(), "scene_id", "left_semi")
+            height = ends.agg(F.max("height")).first()[0] or 0
+            strips, bands = (F.sequence(F.lit(0), F.floor((F.col(side) - 1) / by).cast("int")) for side, by in (("width", STRIP), ("height", band)))
+            todo = ends.where("height > 0 and width > 0").select("scene_id", F.explode(strips).alias("_strip"), bands.alias("_b")).select("scene_id", "_strip", F.explode("_b").alias("_band"))
+        if margin >= height:
+            break
+        todo = cut(todo.join(parts[-1].select(*group).distinct(), group, "left_anti"))
+        if todo.isEmpty():
+            break
+        margin *= WIDER
+    return functools.reduce(DataFrame.union, parts).select("scene_id", "row", "col", "label", "d2")

@@ -1,8 +1,11 @@
-"""Emptied star contraction, label 0, distances and components in bands of rows."""
+"""Emptied star contraction, label 0, distances in bands of rows."""
 
+import random
+
+import pytest
 from test_cleaners import Mask
 
-from scenetrack.operators import objects
+from scenetrack.operators import distance, objects
 from scenetrack.plans.queries import frame, registered
 from scenetrack.sources import views
 
@@ -23,3 +26,30 @@ def test_split_morphologically_runs(spark):
 def test_label_0_is_a_label(spark):
     dense = spark.createDataFrame([(0, 0, 0, 0), (0, 0, 1, 7), (0, 0, 2, None)], "scene_id int, row int, col int, label long")
     assert {r.col: r.mask for r in objects.binary_segments(dense).collect()} == {0: True, 1: True, 2: False}
+
+
+@pytest.mark.parametrize("reach", [None, 0, 5, 30])
+def test_nearest_in_bands(spark, monkeypatch, reach):
+    """Far features, bands without any, ties across bands: as by all pairs, and no task gets the whole height of a strip."""
+    r = random.Random(3)
+    sizes, features = [(90, 19), (70, 3), (33, 40), (60, 4)], [(1, 69, 2, 4), (3, 10, 1, 9), (3, 30, 1, 2)]
+    features += [(0, i, r.randrange(19), r.randint(0, 3)) for i in (0, 1, 2, 3, 4, 60, 61)] + [(2, i, j, r.randint(0, 3)) for i in range(33) for j in range(40) if r.random() < 0.3]
+    features = list({x[:3]: x for x in features}.values())
+    want = {}
+    for k, (h, w) in enumerate(sizes):
+        for i in range(h):
+            for j in range(w):
+                best = min(((i - a) ** 2 + (j - b) ** 2, m) for s, a, b, m in features if s == k)
+                if reach is None or best[0] <= reach**2:
+                    want[k, i, j] = best
+    most = 8 + 2 * (reach or 2)
+    down_columns = distance.down_columns
+    def watched(key, strip, reach):
+        dense = key[0] == 2
+        assert not dense or strip["row"].nunique() <= most + 2 * (reach or 0)
+        return down_columns(key, strip, reach)
+    monkeypatch.setattr(distance, "down_columns", watched)
+    table = spark.createDataFrame(features, "scene_id int, row int, col int, label long")
+    bounds = spark.createDataFrame([(k, *s) for k, s in enumerate(sizes)], "scene_id int, height int, width int")
+    found = [(x.scene_id, x.row, x.col, x.d2, x.label) for x in distance.nearest(table, bounds, reach, band=8, margin=2).collect()]
+    assert {x[:3]: x[3:] for x in found} == want and len(found) == len(want)
