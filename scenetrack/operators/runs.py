@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from scenetrack.schema import RUN_ID_FACTOR
 from scenetrack.session import cut
 
 KEYS = ("scene_id", "row")
+BAND = 128  # rows whose runs are contracted by one task
 
 
 def run_id(row: str = "row", c0: str = "c0") -> Column:
@@ -57,7 +60,7 @@ def components(runs: DataFrame, connectivity: int = 4) -> DataFrame:
     """runs with label, the least run id of their component (4- or 8-connected), by star contraction."""
     named = runs.withColumn("id", run_id())
     edges = touching(named, named, 0 if connectivity == 4 else 1)
-    labels = star_labels(edges)
+    labels = run_labels(edges)
     return named.join(labels, (named.scene_id == labels.scene) & (named.id == labels.vertex), "left").select(*runs.columns, F.coalesce("component", "id").alias("label"))
 
 
@@ -66,7 +69,7 @@ def components_of(runs: DataFrame) -> DataFrame:
     named = runs.withColumn("id", run_id())
     below = named.select("scene_id", "label", (F.col("row") - 1).alias("row"), F.col("id").alias("id2"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
     edges = named.join(below, ["scene_id", "label", "row"]).where("c0 <= d1 and d0 <= c1").select("scene_id", F.col("id").alias("u"), F.col("id2").alias("v"))
-    labels = star_labels(edges)
+    labels = run_labels(edges)
     return named.join(labels, (named.scene_id == labels.scene) & (named.id == labels.vertex), "left").select(named.scene_id, "row", "c0", "c1", F.coalesce("component", "id").alias("label"))
 
 
@@ -90,6 +93,46 @@ def star_labels(edges: DataFrame) -> DataFrame:
     return links.select(F.col("scene_id").alias("scene"), F.col("v").alias("vertex"), F.col("u").alias("component")).union(roots.select("scene_id", "u", "u"))
 
 
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of the edges (u, v) and the least vertex of the component of each: higher roots are hung under lower ones."""
+    names, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    root = np.arange(len(names))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        if not apart.any():
+            return names, names[root]
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def band_of(vertex: str) -> Column:
+    return F.floor(F.shiftright(vertex, 31) / BAND).cast("int")
+
+
+def contracted_band(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
+    """Vertices of a band with the least one that they reach within it; far: vertices of the next band, which are there too."""
+    vertex, root = contracted(edges["u"].to_numpy(np.int64), edges["v"].to_numpy(np.int64))
+    return pd.DataFrame({"scene": key[0], "vertex": vertex, "root": root, "far": (vertex >> 31) // BAND != key[1]})
+
+
+def run_labels(edges: DataFrame) -> DataFrame:
+    """(scene, vertex, component) of edges (scene_id, u, v) between run ids, u the one of the upper row: each band of rows is
+    contracted by a task, and stars are contracted only over what meets at the bands' borders."""
+    own = edges.select("scene_id", band_of("u").alias("_band"), "u", "v")
+    border = own.where(band_of("v") != F.col("_band")).select("scene_id", band_of("v").alias("_band"), F.col("v").alias("u"), "v")
+    kind = dict(edges.dtypes)["scene_id"]
+    work = lambda key, pdf: contracted_band(key, pdf)
+    local = cut(own.unionByName(border).groupBy("scene_id", "_band").applyInPandas(work, f"scene {kind}, vertex bigint, root bigint, far boolean"))
+    above, below = local.where("far").select("scene", "vertex", F.col("root").alias("u")), local.where("not far").select("scene", "vertex", F.col("root").alias("v"))
+    below = below.where(F.shiftright("vertex", 31) % BAND == 0)
+    met = star_labels(above.join(below, ["scene", "vertex"]).select(F.col("scene").alias("scene_id"), "u", "v")).withColumnRenamed("vertex", "root")
+    return local.where("not far").join(met, ["scene", "root"], "left").select("scene", "vertex", F.coalesce("component", "root").alias("component"))
+
+
 def sizes(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("scene_id", "label").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("area"))
 
@@ -217,7 +260,7 @@ def plateaus(px: DataFrame, value: str) -> DataFrame:
     runs = island.groupBy(*KEYS, value, "island").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("island").withColumn("id", run_id())
     below = runs.select("scene_id", (F.col("row") - 1).alias("row"), value, F.col("id").alias("id2"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
     edges = runs.join(below, [*KEYS, value]).where("c0 <= d1 and d0 <= c1").select("scene_id", F.col("id").alias("u"), F.col("id2").alias("v"))
-    labels = star_labels(edges)
+    labels = run_labels(edges)
     return runs.join(labels, (runs.scene_id == labels.scene) & (runs.id == labels.vertex), "left").select(*KEYS, "c0", "c1", value, F.coalesce("component", "id").alias("label"))
 
 

@@ -1,11 +1,11 @@
-"""Emptied star contraction, label 0, distances in bands of rows."""
+"""Emptied star contraction, label 0, distances and components in bands of rows."""
 
 import random
 
 import pytest
 from test_cleaners import Mask
 
-from scenetrack.operators import distance, objects
+from scenetrack.operators import distance, objects, runs
 from scenetrack.plans.queries import frame, registered
 from scenetrack.sources import views
 
@@ -53,3 +53,23 @@ def test_nearest_in_bands(spark, monkeypatch, reach):
     bounds = spark.createDataFrame([(k, *s) for k, s in enumerate(sizes)], "scene_id int, height int, width int")
     found = [(x.scene_id, x.row, x.col, x.d2, x.label) for x in distance.nearest(table, bounds, reach, band=8, margin=2).collect()]
     assert {x[:3]: x[3:] for x in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_components_across_bands(spark, monkeypatch, connectivity):
+    """Combs and noise over many bands: as by plain loops; stars get edges between bands only."""
+    monkeypatch.setattr(runs, "BAND", 4)
+    r, counts = random.Random(5), []
+    noise = {(i, j) for i in range(45) for j in range(12) if r.random() < 0.55}
+    comb = {(i, j) for i in range(30) for j in range(15) if j % 2 == 0 or i == 29}
+    star_labels = runs.star_labels
+    monkeypatch.setattr(runs, "star_labels", lambda edges: counts.append(edges.count()) or star_labels(edges))
+    table = spark.createDataFrame([(k, *p) for k, on in enumerate((noise, comb)) for p in on], "scene_id int, row int, col int")
+    got = {(x.scene_id, x.row, x.col): x.label for x in runs.explode_runs(runs.components(runs.runs_of(table), connectivity)).collect()}
+    assert counts[0] <= 11 * 7 + 7 * 8
+    m = Mask(set(), 0, 0)
+    for k, on in enumerate((noise, comb)):
+        for part in m.components(on, m.FOUR if connectivity == 4 else m.EIGHT):
+            first = min(part)
+            assert {got.pop((k, *p)) for p in part} == {first[0] * (1 << 31) + first[1]}
+    assert not got
