@@ -76,8 +76,8 @@ def tiled_threshold(tiled: DataFrame, value: str, percent: float = 15, least_win
 def tiled_kmeans(tiled: DataFrame, value: str, k: int = 4, rounds: int = 5) -> DataFrame:
     """(scene_id, tr, tc, value, cluster, label): k-means of each tile; labels of different tiles differ."""
     clustered = histograms.kmeans(tiled, value, k, rounds, ("scene_id", "tr", "tc"))
-    columns = F.max("tc").over(histograms.Window.partitionBy("scene_id")) + 1  # over levels of tiles, not pixels
-    return clustered.withColumn("label", ((F.col("tr") * columns + F.col("tc")) * k + F.col("cluster")).cast("bigint"))
+    columns = tiled.groupBy("scene_id").agg((F.max("tc") + 1).alias("_columns"))
+    return clustered.join(columns, "scene_id").withColumn("label", ((F.col("tr") * F.col("_columns") + F.col("tc")) * k + F.col("cluster")).cast("bigint")).drop("_columns")
 
 
 def ice_cluster_pixels(tiled: DataFrame, value: str, ice: Column, more_than: int = 0, k: int = 4, keys: tuple[str, ...] = ("scene_id", "tr", "tc")) -> DataFrame:

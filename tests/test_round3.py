@@ -5,7 +5,7 @@ import random
 import pytest
 from test_cleaners import Mask
 
-from scenetrack.operators import distance, objects, runs
+from scenetrack.operators import distance, objects, runs, tiles
 from scenetrack.plans.queries import frame, registered
 from scenetrack.sources import views
 
@@ -73,3 +73,16 @@ def test_components_across_bands(spark, monkeypatch, connectivity):
             first = min(part)
             assert {got.pop((k, *p)) for p in part} == {first[0] * (1 << 31) + first[1]}
     assert not got
+
+
+def test_tile_labels_without_a_window_over_a_scene(spark):
+    """Labels of tiles count the tile columns of their scene; no window takes all levels of a scene."""
+    rows = [(s, i // 2, j // 2, i, j, (7 * i + 3 * j) % 5) for s, (h, w) in enumerate(((6, 4), (2, 8))) for i in range(h) for j in range(w)]
+    tiled = spark.createDataFrame(rows, "scene_id int, tr int, tc int, row int, col int, q int")
+    out = tiles.tiled_kmeans(tiled, "q", 2)
+    columns = {0: 2, 1: 4}
+    got = out.collect()
+    assert {(x.scene_id, x.tr, x.tc, x.q) for x in got} == {(s, a, b, q) for s, a, b, _, _, q in rows}
+    assert all(x.label == (x.tr * columns[x.scene_id] + x.tc) * 2 + x.cluster for x in got)
+    windows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+    assert windows and all("tr#" in x.rsplit("], [", 2)[-2 if "ASC" in x else -1] for x in windows)
