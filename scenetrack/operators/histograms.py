@@ -236,24 +236,28 @@ def equalize(px: DataFrame, value: str, bins: int) -> DataFrame:
 def kmeans(px: DataFrame, value: str, k: int = 4, rounds: int = 5, keys: tuple[str, ...] = ("scene_id",)) -> DataFrame:
     """Weighted one-dimensional k-means on distinct levels: (keys, value, cluster), clusters by rising centre.
 
-    Centres start at the quantile levels (i + 1/2) / k. Work per round grows with levels, not pixels.
+    Centres start at the quantile levels (i + 1/2) / k. Work per round grows with levels, not pixels; centres are cut in every
+    round, so that no task holds the sorts of several.
     """
-    levels = px.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    levels = cut(px.groupBy(*keys, value).agg(F.count("*").alias("n")))
     line = Window.partitionBy(*keys).orderBy(value)
     every = Window.partitionBy(*keys)
     half = (2 * F.sum("n").over(line) - F.col("n")) / (2 * F.sum("n").over(every))
     clustered = levels.withColumn("cluster", F.least(F.floor(half * k), F.lit(k - 1)).cast("int"))
     for _ in range(rounds):
-        centres = clustered.groupBy(*keys, "cluster").agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("centre"))
-        listed = centres.groupBy(*keys).agg(F.array_sort(F.collect_list("centre")).alias("centres"))  # k at most
+        some = lambda i, x: F.sum(F.when(F.col("cluster") == i, x))
+        centres = clustered.groupBy(*keys).agg(*[(some(i, F.col(value) * F.col("n")) / some(i, F.col("n"))).alias(f"_{i}") for i in range(k)])
+        listed = cut(centres.select(*keys, F.array_sort(F.array_compact(F.array(*[f"_{i}" for i in range(k)]))).alias("centres")))
         gaps = F.transform("centres", lambda c: F.abs(c - F.col(value)))
         clustered = levels.join(listed, [*keys]).select(*keys, value, "n", (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int").alias("cluster"))
     return clustered
 
 
 def modal_cluster(clustered: DataFrame, flagged: DataFrame, value: str, keys: tuple[str, ...] = ("scene_id",)) -> DataFrame:
-    """The cluster that most flagged pixels have, per key; of equal ones the lower."""
-    counts = flagged.join(clustered.drop("n"), [*keys, value]).groupBy(*keys, "cluster").agg(F.count("*").alias("n"))
+    """The cluster that most flagged pixels (or levels with their number n) have, per key; of equal ones the lower."""
+    pixels = F.sum("n") if "n" in flagged.columns else F.count("*")
+    clusters = clustered.select(*keys, value, "cluster")
+    counts = flagged.join(clusters, [*keys, value]).groupBy(*keys, "cluster").agg(pixels.alias("n"))
     return counts.groupBy(*keys).agg(F.max_by("cluster", F.struct("n", -F.col("cluster"))).alias("cluster"))
 
 

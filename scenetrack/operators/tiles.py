@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenetrack.operators import histograms, stencil
+from scenetrack.session import cut
 
 SIDE = 256
 
@@ -81,10 +82,14 @@ def tiled_kmeans(tiled: DataFrame, value: str, k: int = 4, rounds: int = 5) -> D
 
 
 def ice_cluster_pixels(tiled: DataFrame, value: str, ice: Column, more_than: int = 0, k: int = 4, keys: tuple[str, ...] = ("scene_id", "tr", "tc")) -> DataFrame:
-    """Pixels of the cluster that most ice-flagged pixels of their tile have; tiles with more_than flagged ones at most give none."""
-    clustered = histograms.kmeans(tiled, value, k, keys=keys)
-    flagged = tiled.where(ice)
-    enough = flagged.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > more_than).drop("_n")
-    picked = histograms.modal_cluster(clustered, flagged, value, keys).join(enough, [*keys], "left_semi")
-    levels = clustered.join(picked, [*keys, "cluster"], "left_semi").select(*keys, value)
-    return tiled.join(levels, [*keys, value], "left_semi")
+    """Pixels of the cluster that most ice-flagged pixels of their tile have; tiles with more_than flagged ones at most give none.
+
+    Clusters are picked on levels and their counts; pixels meet one row a tile.
+    """
+    clustered = cut(histograms.kmeans(tiled, value, k, keys=keys).drop("n"))
+    flagged = cut(tiled.where(ice).groupBy(*keys, value).agg(F.count("*").alias("n")))
+    enough = flagged.groupBy(*keys).agg(F.sum("n").alias("_n")).where(F.col("_n") > more_than).drop("_n")
+    picked = histograms.modal_cluster(clustered, flagged.join(enough, [*keys], "left_semi"), value, keys)
+    # clusters on a line are intervals of levels
+    ends = clustered.join(picked, [*keys, "cluster"], "left_semi").groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    return tiled.join(cut(ends), [*keys]).where(F.col(value).between(F.col("_lo"), F.col("_hi"))).select(tiled.columns)
