@@ -17,11 +17,12 @@ CELL = ["scene_id", "row", "col"]
 def levels(pixels: DataFrame, frame: DataFrame, most: int = 5, most_hole: int = 2_000, element=None) -> list[DataFrame]:
     """Labels (runs) of the pixels further than d from the background, for d from 0 to most: opened, small holes filled."""
     element = element or R.disk(3)
+    pixels, frame = cut(pixels.select(*CELL)), R.kept(frame)
     near = cut(R.distance_within(pixels, most, frame))
     out = []
     for d in range(most + 1):
         deep = pixels.join(near.where(F.col("d2") <= d * d), CELL, "left_anti").select(*CELL)
-        opened = R.opening(R.runs_of(deep), element, frame)
+        opened = cut(R.opening(cut(R.runs_of(deep)), element, frame))
         out.append(cut(R.components(R.fill_by_size(opened, frame, 0, most_hole))))
     return out
 

@@ -103,7 +103,9 @@ def in_bands(candidates: DataFrame, margin: int, band: int) -> DataFrame:
     keyed = candidates.withColumn("_strip", F.floor(F.col("col") / STRIP).cast("int"))
     keyed = keyed.withColumn("_band", F.explode(F.sequence(F.floor(first / band).cast("int"), F.floor(last / band).cast("int"))))
     begin = F.col("_band") * band
-    return keyed.withColumn("lowest", F.greatest("lowest", begin)).withColumn("highest", F.least("highest", begin + band - 1))
+    keyed = keyed.withColumn("lowest", F.greatest("lowest", begin)).withColumn("highest", F.least("highest", begin + band - 1))
+    # dealt by bands: Spark would keep the partitions of the join with the frame, one a scene, for the groups
+    return keyed.repartition("scene_id", "_strip", "_band")
 
 
 def settled(key: tuple, strip: pd.DataFrame, margin: int) -> pd.DataFrame:

@@ -12,7 +12,7 @@ from scenetrack.schema import RUN_ID_FACTOR
 from scenetrack.session import cut
 
 KEYS = ("scene_id", "row")
-BAND = 128  # rows whose runs are contracted by one task
+BAND = 512  # rows whose runs are contracted by one task
 
 
 def run_id(row: str = "row", c0: str = "c0") -> Column:
@@ -57,8 +57,8 @@ def touching(a: DataFrame, b: DataFrame, reach: int = 0) -> DataFrame:
 
 
 def components(runs: DataFrame, connectivity: int = 4) -> DataFrame:
-    """runs with label, the least run id of their component (4- or 8-connected), by star contraction."""
-    named = runs.withColumn("id", run_id())
+    """runs with label, the least run id of their component (4- or 8-connected), by star contraction. Runs are made once."""
+    named = cut(runs.withColumn("id", run_id()))
     edges = touching(named, named, 0 if connectivity == 4 else 1)
     labels = run_labels(edges)
     return named.join(labels, (named.scene_id == labels.scene) & (named.id == labels.vertex), "left").select(*runs.columns, F.coalesce("component", "id").alias("label"))
@@ -66,7 +66,7 @@ def components(runs: DataFrame, connectivity: int = 4) -> DataFrame:
 
 def components_of(runs: DataFrame) -> DataFrame:
     """4-connected parts of labelled runs: only runs of one label join; runs with the least run id as their label."""
-    named = runs.withColumn("id", run_id())
+    named = cut(runs.withColumn("id", run_id()))
     below = named.select("scene_id", "label", (F.col("row") - 1).alias("row"), F.col("id").alias("id2"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
     edges = named.join(below, ["scene_id", "label", "row"]).where("c0 <= d1 and d0 <= c1").select("scene_id", F.col("id").alias("u"), F.col("id2").alias("v"))
     labels = run_labels(edges)
@@ -162,7 +162,7 @@ def reconstruct(mask_runs: DataFrame, marker: DataFrame, connectivity: int = 4)
 
 def on_border(labelled: DataFrame, frame: DataFrame) -> DataFrame:
     at_edge = (F.col("row") == 0) | (F.col("row") == F.col("height") - 1) | (F.col("c0") == 0) | (F.col("c1") == F.col("width") - 1)
-    return labelled.join(frame, "scene_id").where(at_edge).select("scene_id", "label").distinct()
+    return labelled.join(frame, "scene_id").where(at_edge).select("scene_id", "label").repartition("scene_id", "label").distinct()
 
 
 def clear_border(runs: DataFrame, frame: DataFrame, connectivity: int = 4) -> DataFrame:
@@ -213,7 +213,8 @@ def dilate(runs: DataFrame, element: list[tuple[int, int, int]], frame: DataFram
     moved = runs.select("scene_id", "row", "c0", "c1", F.explode(rows).alias("e")).join(frame, "scene_id")
     c0, c1 = F.greatest(F.col("c0") + F.col("e.lo"), F.lit(0)), F.least(F.col("c1") + F.col("e.hi"), F.col("width") - 1)
     out = moved.select("scene_id", (F.col("row") + F.col("e.dr")).alias("row"), c0.cast("int").alias("c0"), c1.cast("int").alias("c1"), "height")
-    return merge_runs(out.where("row >= 0 and row < height and c0 <= c1").drop("height"))
+    # dealt by rows again: Spark would keep the join's partitions, one a scene, for the window, and not broadcast the frame
+    return merge_runs(out.where("row >= 0 and row < height and c0 <= c1").drop("height").repartition(*KEYS))
 
 
 def erode(runs: DataFrame, element: list[tuple[int, int, int]], frame: DataFrame) -> DataFrame:
@@ -254,6 +255,12 @@ def frame_of(px: DataFrame) -> DataFrame:
     return px.groupBy("scene_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
 
 
+def kept(frame: DataFrame) -> DataFrame:
+    """frame, worked out once. It is dealt over two partitions of no key: a checkpoint of one partition would count as rightly
+    partitioned for any join and draw the other side into one task."""
+    return cut(frame.repartition(2))
+
+
 def plateaus(px: DataFrame, value: str) -> DataFrame:
     """Runs of equal value with the label of their 4-connected plateau."""
     island = px.select(*KEYS, "col", value, (F.col("col") - F.row_number().over(Window.partitionBy(*KEYS, value).orderBy("col"))).alias("island"))

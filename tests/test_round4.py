@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scenetrack.operators import histograms, runs, tiles
+from scenetrack.operators import distance, histograms, runs, tiles
 
 
 def raster(spark, height=40, width=8):
@@ -30,3 +30,13 @@ def test_ice_clusters_meet_pixels_once(spark):
             levels = [r.q for r in clustered.where((F.col("tr") == key) & (F.col("cluster") == best)).collect()]
             want |= {(r.row, r.col) for r in tiled.where((F.col("tr") == key) & F.col("q").isin(levels)).collect()}
     assert want and {(r.row, r.col) for r in found.collect()} == want and found.columns == tiled.columns
+
+
+def test_frames_dont_gather_scenes(spark):
+    """What follows a join with the frame is dealt by rows or bands, not by the scene that the join would deal by."""
+    frame = runs.kept(runs.frame_of(raster(spark)))
+    assert times_made(frame) == 0 and frame.rdd.getNumPartitions() == 2
+    mask = runs.runs_of(raster(spark).where("q > 128").select("scene_id", "row", "col"))
+    near = distance.nearest(raster(spark).where("q > 250").select("scene_id", "row", "col", F.lit(1).cast("bigint").alias("label")), frame, 3)
+    for df in (runs.dilate(mask, runs.diamond(1), frame), near):
+        assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
