@@ -165,8 +165,9 @@ def closed_by_reconstruction(px: DataFrame, value: str, radius: int, top: float)
 
 
 def dense_mask(pixels: DataFrame, frame: DataFrame) -> DataFrame:
-    """All pixels of the frame with bit: 1 where the mask has a pixel."""
+    """All pixels of the frame with bit: 1 where the mask has a pixel. Rows are dealt to all cores before they become pixels."""
     rows = frame.select("scene_id", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"))
+    rows = rows.repartition(frame.sparkSession.sparkContext.defaultParallelism)
     every = rows.select("scene_id", "row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
     some = pixels.select("scene_id", "row", "col", F.lit(1).alias("bit"))
     return every.join(some, ["scene_id", "row", "col"], "left").withColumn("bit", F.coalesce("bit", F.lit(0)))

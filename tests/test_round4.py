@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scenetrack.operators import distance, histograms, runs, tiles
+from scenetrack.operators import distance, histograms, runs, stencil, tiles
 
 
 def raster(spark, height=40, width=8):
@@ -40,3 +40,8 @@ def test_frames_dont_gather_scenes(spark):
     near = distance.nearest(raster(spark).where("q > 250").select("scene_id", "row", "col", F.lit(1).cast("bigint").alias("label")), frame, 3)
     for df in (runs.dilate(mask, runs.diamond(1), frame), near):
         assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_are_dealt_before_they_become_pixels(spark):
+    plan = stencil.dense_mask(raster(spark), runs.kept(runs.frame_of(raster(spark))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(sequence(0, (width") < plan.index("Repartition ") < plan.index("explode(sequence(0, (height")
