@@ -54,7 +54,7 @@ def base(spark, d):
 
 
 def frame(spark, d):
-    return R.frame_of(V.px_embed(spark, d).select("scene_id", "row", "col"))
+    return R.kept(R.frame_of(V.px_embed(spark, d).select("scene_id", "row", "col")))
 
 
 def labelled(spark, d):
@@ -444,7 +444,7 @@ def scene_labels(spark, d):
 
 def objects_of(spark, labels):
     objects = O.object_table(labels, 29).join(F.broadcast(V.scene_times(spark)), "scene_id")
-    return objects.withColumn("uuid", F.concat_ws(":", "scene_id", "label"))
+    return cut(objects.withColumn("uuid", F.concat_ws(":", "scene_id", "label")))
 
 
 def scene_objects(spark, d):
@@ -467,7 +467,7 @@ def matched_cells(spark, d):
     """Matched pairs (u1, u2) and the cells of their objects with orientation."""
     labels = scene_labels(spark, d)
     objects = objects_of(spark, labels)
-    matched = cut(T.mutual_best(chain_of(objects)).select(F.col("h_uuid").alias("u1"), F.col("uuid").alias("u2")))
+    matched = cut(T.mutual_best(cut(chain_of(objects))).select(F.col("h_uuid").alias("u1"), F.col("uuid").alias("u2")))
     used = matched.select(F.explode(F.array("u1", "u2")).alias("uuid")).distinct()
     wanted = objects.join(used, "uuid", "left_semi").select("scene_id", "label", "uuid", "orientation")
     cells = cut(R.explode_runs(labels.join(wanted, ["scene_id", "label"])).select("uuid", "row", "col", "orientation"))
@@ -493,7 +493,7 @@ def filter_chain(spark, d):
 
 @query(Q.query(*SCENES, CANDIDATES, CHAIN, "hb as (select h_uuid, uuid, row_number() over (partition by h_uuid order by w,uuid) as n from pf)", "tb as (select h_uuid, uuid, row_number() over (partition by uuid order by w,h_uuid) as n from pf)", "select hb.h_uuid, hb.uuid from hb join tb on hb.h_uuid=tb.h_uuid and hb.uuid=tb.uuid where hb.n=1 and tb.n=1"))
 def mutual_best(spark, d):
-    return T.mutual_best(chained(spark, d)).select("h_uuid", "uuid")
+    return T.mutual_best(cut(chained(spark, d))).select("h_uuid", "uuid")
 
 
 def track_sql() -> list[str]:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scenetrack.operators import distance, histograms, runs, stencil, tiles
+from scenetrack.operators import distance, histograms, runs, stencil, tiles, tracking
 
 
 def raster(spark, height=40, width=8):
@@ -45,3 +45,17 @@ def test_frames_dont_gather_scenes(spark):
 def test_rows_are_dealt_before_they_become_pixels(spark):
     plan = stencil.dense_mask(raster(spark), runs.kept(runs.frame_of(raster(spark))))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("explode(sequence(0, (width") < plan.index("Repartition ") < plan.index("explode(sequence(0, (height")
+
+
+def test_components_make_runs_once(spark):
+    assert times_made(runs.components(runs.runs_of(raster(spark).where("q > 128")))) == 0
+
+
+def test_cells_reach_as_far_as_times_allow(spark):
+    rows = [("r", k, f"2024-01-01 0{2 * k}:00:00", f"{k}:{i}", 100, 7.0 * i + k, 3.0, 9.0, 5.0) for k in range(3) for i in range(40)]
+    objects = spark.createDataFrame(rows, "region string, scene_id int, pass_time string, uuid string, area int, row_centroid double, col_centroid double, major_axis_length double, minor_axis_length double")
+    objects = objects.withColumn("pass_time", F.col("pass_time").cast("timestamp"))
+    assert tracking.longest_step_s(objects) == 4 * 3600 and tracking.longest_step_s(objects.where("false")) == 0
+    for rule in (tracking.log_log_distance, tracking.linear_distance, tracking.stepwise_distance):
+        found, wide = (tracking.candidates(objects, rule, cell).select("h_uuid", "uuid").collect() for cell in (None, 1000))
+        assert found and sorted(found) == sorted(wide)
