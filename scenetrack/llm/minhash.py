@@ -11,8 +11,9 @@ make buckets. Within a bucket, members are not paired with each other:
   2. buckets of three and more that still have several components go on, without members of which more than the
      tolerated share of runs occurs in no other component (they can link to none). Each bucket takes the member with the
      fewest such runs as the next centre;
-  3. what is left is joined across components by bitmaps of the texts, which bound the similarity from above, and verified, so
-     that no link between different components of a bucket is lost.
+  3. what is left is joined across components: each text stands in the lists of its rarest runs that other components hold,
+     as many as two similar texts can't both do without; places in the lists and bitmaps of the texts bound the similarity from
+     above, and what they leave is verified, so that no link between different components of a bucket is lost.
 Two documents link if the Jaccard similarity of their sets of runs is THRESHOLD at least, computed from whole texts.
 
 Inside, rows are told apart by 64 bits of their id and text, so ids may be null or repeat with different texts.
@@ -141,6 +142,16 @@ def run_rows(texts: DataFrame, sets: Sets = run_sets) -> DataFrame:
     return map_texts(texts.select("doc_id", "component", "text"), "doc_id long, component long, run long", work)
 
 
+def foreign_runs(texts: DataFrame, ids: DataFrame, sets: Sets = run_sets) -> DataFrame:
+    """(doc_id, component, run, holders) for the runs of texts (doc_id, text) that are held by several components of ids
+    (doc_id, component); holders: by how many texts."""
+    runs = cut_lineage(run_rows(texts.join(ids.select("doc_id", "component"), "doc_id"), sets))
+    several = runs.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("holders")).where("lo <> hi").select("run", "holders")
+    held = cut_lineage(with_hot_keys(runs, several := cut_lineage(several), ["run"], "holders", runs.count()))
+    release(runs, several)
+    return held
+
+
 def links_of(buckets: DataFrame, texts: DataFrame, threshold: float, total: int, sets: Sets = run_sets) -> DataFrame:
     """Verified links (a, b) that connect all documents of the buckets (key, doc_id, runs) which similar texts connect.
 
@@ -168,11 +179,10 @@ def links_of(buckets: DataFrame, texts: DataFrame, threshold: float, total: int,
     if rest.isEmpty():
         return links
     ids = rest.select("doc_id", "runs", "component").distinct()
-    runs = cut_lineage(run_rows(few.join(ids.drop("runs"), "doc_id"), sets))
-    foreign = runs.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("holders")).where("lo <> hi").select("run", "holders")
-    held = with_hot_keys(runs, cut_lineage(foreign), ["run"], "holders", total, "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
-    shared = cut_lineage(ids.join(held, "doc_id").where(F.col("shared") >= threshold * F.col("runs")).select("doc_id", "shared"))
-    release(runs)
+    held = foreign_runs(few, ids, sets)
+    counted = held.groupBy("doc_id").agg(F.count("*").alias("shared"))
+    shared = cut_lineage(ids.join(counted, "doc_id").where(F.col("shared") >= threshold * F.col("runs")).select("doc_id", "shared"))
+    release(held)
     if shared.isEmpty():
         return links
     live = cut_lineage(rest.drop("members").join(shared, "doc_id"))
@@ -183,9 +193,9 @@ def links_of(buckets: DataFrame, texts: DataFrame, threshold: float, total: int,
     more = cut_lineage(verified(possible(again, wide := cut_lineage(bitmaps(few.join(shared, "doc_id"), sets)), threshold, total), few, threshold, total, sets))
     if not more.isEmpty():
         links = links.union(more)
-        live = open_rows(links).drop("members").join(shared, "doc_id")
-    live = cut_lineage(with_hot_keys(live, seconds, ["key"], "members", total).select("key", "doc_id", "component", "centre", "runs", "members"))
-    pairs = cut_lineage(across(cut_lineage(live.join(wide.select("doc_id", "map"), "doc_id")), threshold))
+        live = open_rows(links).join(shared, "doc_id")
+    ids = cut_lineage(live.select("doc_id", "runs", "component").distinct())
+    pairs = cut_lineage(across(rare_lists(foreign_runs(few, ids, sets), ids, threshold), wide, threshold))
     return cut_lineage(links.union(verified(cut_lineage(possible(pairs, wide, threshold, total)), few, threshold, total, sets)))
 
 
@@ -241,24 +251,42 @@ def possible(pairs: DataFrame, maps: DataFrame, threshold: float, total: int) ->
     return both.mapInArrow(check, "a long, b long")
 
 
-def across(near: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components of a bucket that may have the similarity: all but those that sizes or bitmaps
-    rule out. A bit that only one of two texts sets is a run at least that the other lacks, so their common runs are as many
-    as the one's runs less such bits at most.
+def rare_lists(held: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
+    """key (a run), doc_id, component, runs, left, members, top of the lists by which texts of different components meet.
+
+    held has the runs that several components hold (foreign_runs), ids the texts' numbers of runs. Similar texts have
+    threshold of either's runs in common at least, all of them foreign, so in one order of all runs, rarest first, the first
+    that they share has so many foreign runs from it on (left) in both; a text stands in the lists of such runs only.
+    members is the number of texts in the list, top the component of most of them."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("holders"), F.desc("run"))
+    placed = held.select("doc_id", F.col("run").alias("key"), F.row_number().over(order).alias("left")).join(ids, "doc_id")
+    placed = cut_lineage(placed.where(F.col("left") >= threshold * F.col("runs")))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("key").agg(F.max_by("component", "n").alias("top"), F.sum("n").alias("members"), F.count("*").alias("components")).where("components > 1").drop("components")
+    return cut_lineage(with_hot_keys(placed, cut_lineage(several), ["key"], "members", placed.count()))
+
+
+def across(lists: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components of a list (rare_lists) that may have the similarity: all but those that sizes, places
+    in the list or bitmaps (maps) rule out. Of the first run that two texts share, their common runs are as many as are left
+    from it on at most. A bit that only one of two texts sets is a run at least that the other lacks, so their common runs are
+    as many as the one's runs less such bits at most.
 
-    Large buckets are cut into parts of PART_MEMBERS; each two parts meet in a group of their own, so that no task gets all
-    pairs of a bucket."""
+    A list's texts of its top component are not met with each other: one side is all others. Large lists are cut into parts of
+    PART_MEMBERS; each two parts meet in a group of their own, so that no task gets all pairs of a list."""
     parts = F.ceil(F.col("members") / PART_MEMBERS)
-    columns = ["key", "doc_id", "component", "centre", "runs", *[F.col("map")[k].alias(f"map{k}") for k in range(MAP_WORDS)]]
-    dealt = near.select(*columns, F.pmod(F.xxhash64("doc_id"), parts).alias("part"), parts.alias("parts"))
-    x = dealt.withColumn("low", F.col("part")).withColumn("high", F.explode(F.sequence("part", F.col("parts") - 1))).alias("x")
-    y = dealt.withColumn("high", F.col("part")).withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), "part"))).alias("y")
+    columns = ["key", "doc_id", "component", "top", "runs", "left", *[F.col("map")[k].alias(f"map{k}") for k in range(MAP_WORDS)]]
+    dealt = lists.join(maps.select("doc_id", "map"), "doc_id").select(*columns, F.pmod(F.xxhash64("doc_id"), parts).alias("part"), parts.alias("parts"))
+    dealt = cut_lineage(dealt)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    x = dealt.where("component <> top").withColumn("low", F.col("part")).withColumn("high", every).alias("x")
+    y = dealt.withColumn("high", F.col("part")).withColumn("low", every).alias("y")
     may = (F.col("x.key") == F.col("y.key")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
-    may = may & ((F.col("x.low") < F.col("x.high")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & (F.col("x.component") != F.col("y.component"))
-    may = may & (F.col("x.doc_id") != F.col("x.centre")) & (F.col("y.doc_id") != F.col("y.centre")) & (F.least("x.runs", "y.runs") >= threshold * F.greatest("x.runs", "y.runs"))
+    may = may & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.top")) | (F.col("x.doc_id") < F.col("y.doc_id")))
+    enough = lambda common: common >= threshold * (F.col("x.runs") + F.col("y.runs") - common)
+    may = may & (F.least("x.runs", "y.runs") >= threshold * F.greatest("x.runs", "y.runs")) & enough(F.least("x.left", "y.left"))
     lacks = lambda p, q: sum((F.bit_count(F.col(f"{p}.map{k}").bitwiseAND(F.bitwise_not(f"{q}.map{k}"))) for k in range(MAP_WORDS)), F.lit(0))
-    common = F.least(F.col("x.runs") - lacks("x", "y"), F.col("y.runs") - lacks("y", "x"))
-    similar = common >= threshold * (F.col("x.runs") + F.col("y.runs") - common)
+    similar = enough(F.least(F.col("x.runs") - lacks("x", "y"), F.col("y.runs") - lacks("y", "x")))
     return x.join(y, may & similar).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from scenetrack.llm import jaccard
+from scenetrack.llm import jaccard, minhash
 
 DIR = "/root/testdata/sf0.001"
 
@@ -87,3 +87,28 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.similar_sets(docs).count() == 0
     assert jaccard.similar_sets(spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")).count() == 2
+
+
+def test_lists_across_components_are_of_rare_runs(spark, monkeypatch):
+    """Texts that share a common part but can't link meet in no list, and of those that may each pair is found once."""
+    monkeypatch.setattr(minhash, "PART_MEMBERS", 4)
+    common = [f"c{i}" for i in range(90)]
+    rows = [(i, i // 2, " ".join(common + [f"d{i // 2}x{k}" for k in range(40)] + [f"e{i % 2}"])) for i in range(30)]
+    r = random.Random(5)
+    near = [f"n{i}" for i in range(200)]
+    for i in range(100, 112):
+        text = list(near)
+        for at in r.sample(range(200), r.randint(1, 4)):
+            text[at] = f"v{i % 5}"
+        rows.append((i, i // 3, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, component long, text string")
+    sizes = {d: len(shingles(t)) for d, _, t in rows}
+    ids = spark.createDataFrame([(d, sizes[d], c) for d, c, _ in rows], "doc_id long, runs int, component long")
+    texts = docs.select("doc_id", "text")
+    lists = minhash.rare_lists(minhash.foreign_runs(texts, ids, jaccard.run_sets), ids, 0.8)
+    assert {x.doc_id for x in lists.collect()} <= set(range(100, 112))
+    found = sorted(map(tuple, minhash.across(lists, minhash.bitmaps(texts, jaccard.run_sets), 0.8).collect()))
+    sets = {d: shingles(t) for d, _, t in rows}
+    part = {d: c for d, c, _ in rows}
+    similar = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if part[a] != part[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(similar) > 3 and set(similar) <= set(found) and len(found) == len(set(found))
